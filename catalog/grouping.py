@@ -162,7 +162,7 @@ _GRID = """with recursive g as (select item_id, y, x, gray::double g from grid),
  h as (select item_id, g, count(*)::double c from z group by 1, 2),
  hh as (select item_id, sum(c) n, sqrt(sum(c*c)/256 - pow(sum(c)/256, 2)) hist_std, sum(c)/256 hist_mean from h group by 1),
  en as (select item_id, -sum(c/n * log2(c/n + 1e-10)) entropy from h join hh using (item_id) group by 1),
- f as (select item_id, var_pop(lap) laplacian_var, stddev_pop(g) contrast, avg(g) brightness, avg(gx*gx + gy*gy) sobel_mean from z group by 1)
+ f as (select item_id, avg(lap*lap) - pow(avg(lap), 2) laplacian_var, sqrt(avg(g*g) - pow(avg(g), 2)) contrast, avg(g) brightness, avg(gx*gx + gy*gy) sobel_mean from z group by 1)
  select item_id, round(laplacian_var, 4) laplacian_var, round(contrast, 4) contrast, round(brightness, 4) brightness, round(hist_mean, 4) hist_mean,
   round(hist_std, 4) hist_std, round(sobel_mean, 4) sobel_mean, round(entropy, 4) entropy from f join hh using (item_id) join en using (item_id)"""
 

@@ -96,8 +96,8 @@ def existing_sources(spark, sf):
 
 
 @query(
-    _WALK + """ select item_id, '/lib/' || d.lang || '_' || item_id || '.jpg' src_path, 'groupe_' || lpad(group_no::varchar, greatest(3, len(group_no::varchar)), '0') dest_dir,
- lpad(member_pos::varchar, greatest(2, len(member_pos::varchar)), '0') || '_' || d.lang || '_' || item_id || '.jpg' dest_name from g join documents d on d.doc_id = g.item_id""",
+    _WALK + """ select item_id, '/lib/' || d.lang || '_' || item_id || '.jpg' src_path, 'groupe_' || lpad(group_no::varchar, greatest(3, len(group_no::varchar))::int, '0') dest_dir,
+ lpad(member_pos::varchar, greatest(2, len(member_pos::varchar))::int, '0') || '_' || d.lang || '_' || item_id || '.jpg' dest_name from g join documents d on d.doc_id = g.item_id""",
     uses="pairs3",
 )
 def near_duplicate_layout(spark, sf):

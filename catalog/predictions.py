@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import derived, query
+from catalog.derived import OUT_OF_RANGE
 from lumenrank import functions as fn
 from lumenrank.operators import aggregates, filters, metrics, positions, scoring
 from lumenrank.plans import evaluate_predictions, score_library
@@ -30,7 +31,7 @@ def make_scorer():
     """Caller's model: six components as logits; refuses vectors out of range."""
 
     def predict(batch):
-        if any(max(v) > derived.OUT_OF_RANGE for v in batch):
+        if any(max(v) > OUT_OF_RANGE for v in batch):
             raise ValueError("value out of range")
         return [[float(x) * 10 for x in v[:6]] for v in batch]
 
@@ -372,7 +373,7 @@ def items_by_score(spark, sf):
 @query(
     """with u as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double*x::double))) n from embeddings)
  select vec_id item_id, list_transform(embedding, lambda x: round(x::double / greatest(n, 1e-12), 6)) features,
- round(list_cosine_distance(embedding::double[], reverse(embedding)::double[]), 6) mirror_distance from u"""
+ round(list_cosine_distance(embedding::double[], list_reverse(embedding)::double[]), 6) mirror_distance from u"""
 )
 def vector_functions(spark, sf):
     """Unit vectors and cosine distance."""

@@ -402,7 +402,7 @@ def draw_pairs(
     placed = with_position(eligible.select(by, item), [item], [by], "i")
     sizes = placed.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     if isinstance(n_pairs, int):
-        ids = sizes.select(by, "n", F.explode(F.sequence(F.lit(1), F.lit(n_pairs))).cast("bigint").alias("pair_id"))
+        ids = sizes.select(by, "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_pairs).cast("bigint"))).alias("pair_id"))
     else:
         ids = n_pairs.join(sizes, by)
     key = F.concat_ws(":", F.col(by).cast("string"), F.col("pair_id").cast("string"))

@@ -32,15 +32,17 @@ class _Ratings(StatefulProcessor):
     ``gap_timeout_ms`` has passed since it was held.
     """
 
-    def __init__(self, method: str, session_field: str, key_type: str, gap_timeout_ms: int | None):
-        self.method, self.session_field, self.key_type = method, session_field, key_type
-        self.gap_timeout_ms = gap_timeout_ms
+    def __init__(self, method: str, gap_timeout_ms: int | None):
+        self.method, self.gap_timeout_ms = method, gap_timeout_ms
+        # parsed here, on the driver: workers have no session to parse with
+        self.seq, self.item, self.score = struct("seq bigint"), struct("item string"), struct("score double")
+        self.vote = struct("winner string, loser string")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", struct("seq bigint"))
-        self.scores = handle.getMapState("scores", struct("item string"), struct("score double"))
-        self.held = handle.getMapState("held", struct("seq bigint"), struct("winner string, loser string"))
+        self.last = handle.getValueState("last", self.seq)
+        self.scores = handle.getMapState("scores", self.item, self.score)
+        self.held = handle.getMapState("held", self.seq, self.vote)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else 0
@@ -107,7 +109,7 @@ class _Ratings(StatefulProcessor):
             self.scores.updateValue((item,), (score,))
         self.last.update((last,))
         yield pd.DataFrame(
-            {self.session_field: key[0], "item": list(cache), "raw_score": list(cache.values()), "last_seq": last}
+            {"session_id": key[0], "item": list(cache), "raw_score": list(cache.values()), "last_seq": last}
         )
 
 
@@ -120,7 +122,7 @@ def stream_ratings(
     return votes.select("session_id", "seq", "winner", "loser").filter(
         F.col("winner") != F.col("loser")
     ).groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Ratings(method, "session_id", key_type, gap_timeout_ms),
+        statefulProcessor=_Ratings(method, gap_timeout_ms),
         outputStructType=out,
         outputMode="Update",
         timeMode="None" if gap_timeout_ms is None else "ProcessingTime",
