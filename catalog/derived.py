@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from lumenrank import functions as fn
 from lumenrank.operators.fingerprints import gray_grid, text_fingerprint
 from lumenrank.operators.positions import with_position
 from lumenrank.operators.scoring import class_predictions
-from lumenrank.session import materialise
+from lumenrank.session import materialise, spread
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -20,10 +21,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str, *keys: str) -> DataFrame:
+    return spread(table(spark, sf, name), *keys)
+
+
 def once(name: str) -> Callable:
     """Write a derived table once per application and data folder."""
 
     def wrap(build: Callable[[SparkSession, str], DataFrame]):
+        @functools.wraps(build)
         def get(spark: SparkSession, sf: str) -> DataFrame:
             key = (spark.sparkContext.applicationId, sf, name)
             if key not in _written:
@@ -235,7 +241,7 @@ SQL["simhash"] = """
 
 @once("simhash")
 def simhash(spark: SparkSession, sf: str) -> DataFrame:
-    hashed = text_fingerprint(table(spark, sf, "documents"))
+    hashed = text_fingerprint(spread_table(spark, sf, "documents", "doc_id"))
     return hashed.select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("ord"), "h")
 
 

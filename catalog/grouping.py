@@ -13,7 +13,7 @@ EPS = 0.62
 
 @query("select item_id, hi, lo from simhash", uses="simhash")
 def text_fingerprints(spark, sf):
-    hashed = fingerprints.text_fingerprint(derived.table(spark, sf, "documents"))
+    hashed = fingerprints.text_fingerprint(derived.spread_table(spark, sf, "documents", "doc_id"))
     return hashed.select(
         F.col("doc_id").alias("item_id"),
         F.shiftrightunsigned("h", 32).alias("hi"),

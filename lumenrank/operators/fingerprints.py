@@ -21,34 +21,28 @@ BINS = 256
 def text_fingerprint(docs: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
     """64-bit SimHash of the words of a text: ``item, h``.
 
-    Word counts are summed first, so a word repeated a million times is one
-    row; the 64 signed sums of a text are plain conditional sums of one
-    aggregation. Texts without words have no fingerprint.
+    Words are exploded and summed in the task that reads the text; one row of
+    counters per text is exchanged. Bits j of the upper and the lower half are
+    counted in one long (a text has fewer than 2**31 words), and a bit of the
+    result is set when more than half of the words have it. Texts without words
+    have no fingerprint.
     """
     words = docs.select(
         F.col(item), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")
     )
-    counted = words.groupBy(item, "w").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.md5("w")
-
-    def half(at: int) -> Column:
-        return F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
-
-    bits = counted.select(item, "n", half(1).alias("hi"), half(9).alias("lo"))
-    n = F.col("n")
-    sums = [
-        F.sum(F.when(F.shiftright(word, b).bitwiseAND(F.lit(1)) == 1, n).otherwise(-n)).alias(f"{word}_{b}")
-        for word in ("hi", "lo")
-        for b in range(32)
+    half = "cast(conv(substring(m, {at}, 8), 16, 10) as bigint)"
+    bits = words.select(item, F.md5("w").alias("m")).selectExpr(
+        item, f"{half.format(at=1)} as hi", f"{half.format(at=9)} as lo"
+    )
+    # SQL text here: thousands of Column calls would take longer than the job
+    counters = [
+        F.expr(f"sum(shiftleft(shiftright(hi, {j}) & 1L, 32) | (shiftright(lo, {j}) & 1L))").alias(f"c{j}")
+        for j in range(32)
     ]
-    signed = bits.groupBy(item).agg(*sums)
-    h = F.lit(0).cast("bigint")
-    for word, base in (("hi", 32), ("lo", 0)):
-        for b in range(32):
-            value = 1 << (base + b)
-            bit = F.lit(value - (1 << 64) if value >> 63 else value).cast("bigint")
-            h = h.bitwiseOR(F.when(F.col(f"{word}_{b}") > 0, bit).otherwise(F.lit(0).cast("bigint")))
-    return signed.select(item, h.alias("h"))
+    counted = bits.groupBy(item).agg(F.count(F.lit(1)).alias("n"), *counters)
+    upper = " | ".join(f"if(shiftright(c{j}, 32) * 2 > n, shiftleft(1L, {32 + j}), 0L)" for j in range(32))
+    lower = " | ".join(f"if((c{j} & 4294967295L) * 2 > n, {1 << j}L, 0L)" for j in range(32))
+    return counted.select(item, F.expr(f"({upper}) | ({lower})").alias("h"))
 
 
 # ---------------------------------------------------------------- images

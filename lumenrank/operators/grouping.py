@@ -81,22 +81,20 @@ def similar_items(items: DataFrame, threshold: int = 5, item: str = "item_id", o
 # ---------------------------------------------------------------- connected components
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Order-free digest of an edge table, to see when a round changes nothing."""
-    r = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-        F.sum((F.col("u") - F.col("v")).cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return (r.n, r.x, r.s)
+def _is_flat(stars: DataFrame) -> bool:
+    """Every node has one parent and no parent has a parent."""
+    parents = stars.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    nested = stars.join(parents.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return parents.filter("n > 1").select("u").unionByName(nested).isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``ord, component`` for every node of the edges; component = its smallest node.
 
     Alternates the large-star and small-star contractions of Kiveris et al.
-    (2014). Both only take minima per node, which combine map-side, so a hub
-    with a third of all edges is never gathered.
+    (2014) until every edge points at a root. Both only take minima per node,
+    which combine map-side, so a hub with a third of all edges is never
+    gathered.
     """
     current = materialise(
         edges.select(F.greatest("ord_a", "ord_b").alias("u"), F.least("ord_a", "ord_b").alias("v"))
@@ -104,21 +102,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "stars",
     )
-    seen = _fingerprint(current)
-    while True:
+    while not _is_flat(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.filter(F.col("u") != F.col("v")).distinct(), "stars")
+        large = large.filter(F.col("u") != F.col("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         moved = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = low.select("u", F.col("m").alias("v"))
         current = materialise(moved.unionByName(own).distinct(), "stars")
-        now = _fingerprint(current)
-        if now == seen:
-            break
-        seen = now
     members = current.select(F.col("u").alias("ord"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("ord"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

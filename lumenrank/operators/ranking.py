@@ -126,8 +126,8 @@ def elo_ratings(
         folded = _fold_block(part, moving, k)
         if ratings is not None:
             resting = ratings.join(players, ["session_id", "item"], "left_anti")
-            folded = folded.unionByName(resting)
-        ratings = materialise(folded, "elo-ratings")
+            folded = materialise(folded.unionByName(resting), "elo-ratings")
+        ratings = folded
     return done.unionByName(ratings)
 
 
@@ -157,7 +157,9 @@ def _fold_block(duels: DataFrame, seeds: DataFrame | None, k: float) -> DataFram
         )
     ordered = rows.repartition("session_id").sortWithinPartitions("session_id", F.col("seq").asc_nulls_first())
     sid = duels.schema["session_id"].dataType.simpleString()
-    return ordered.mapInPandas(_elo_fold(k, ELO_START), f"session_id {sid}, item string, raw_score double")
+    folded = ordered.mapInPandas(_elo_fold(k, ELO_START), f"session_id {sid}, item string, raw_score double")
+    # normalising and ranking read the ratings more than once; the fold runs once
+    return materialise(folded, "elo-ratings")
 
 
 # ---------------------------------------------------------------- bounded scores

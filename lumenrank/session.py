@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # call-site capture makes every Column operation several times slower
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -66,5 +68,17 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a bare scan over all cores when its files give too few splits.
+
+    For row-wise work that is heavy compared with the bytes it reads. A table
+    of many files or row groups is returned unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
