@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenrank import functions as fn
 from lumenrank.schemas import require_columns
-from lumenrank.tiers import N_TIERS, in_profile, tier_table
+from lumenrank.tiers import N_TIERS, in_profile, profile, tier_table
 
 # Folder fragments that mark tool and version-control folders.
 PRUNED_DIRS = [".venv", ".git"]
@@ -36,6 +36,12 @@ def keep_supported(
     return kept
 
 
+def _name_glob(extensions: str | list[str]) -> str:
+    """File name pattern of a profile in any case, applied while listing."""
+    either = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in profile(extensions)]
+    return "*.{" + ",".join(either) + "}"
+
+
 def scan_items(
     spark: SparkSession,
     root: str,
@@ -43,9 +49,13 @@ def scan_items(
     extensions: str | list[str] = "scoring",
     prune_dirs: bool = False,
 ) -> DataFrame:
-    """Files below ``root`` (or one file), without reading their content."""
+    """Files below ``root`` (or one file), without reading their content.
+
+    Spark lists no file or folder whose name starts with a dot or underscore.
+    """
     files = (
         spark.read.format("binaryFile")
+        .option("pathGlobFilter", _name_glob(extensions))
         .option("recursiveFileLookup", str(recursive).lower())
         .load(root)
         .select("path", "length", F.col("modificationTime").alias("mtime"))
@@ -56,10 +66,13 @@ def scan_items(
     )
 
 
-def scan_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+def scan_images(
+    spark: SparkSession, root: str, recursive: bool = True, extensions: str | list[str] = "scoring"
+) -> DataFrame:
     """Decoded pixels; unreadable files stay as rows with ``ok = false``."""
     images = (
         spark.read.format("image")
+        .option("pathGlobFilter", _name_glob(extensions))
         .option("recursiveFileLookup", str(recursive).lower())
         .load(root)
     )

@@ -44,7 +44,7 @@ class _Ratings(StatefulProcessor):
         self.scores = handle.getMapState("scores", self.item, self.score)
         self.held = handle.getMapState("held", self.seq, self.vote)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else 0
         cache, holding = {}, False
         for pdf in rows:
@@ -60,10 +60,10 @@ class _Ratings(StatefulProcessor):
                     holding = True
             last = self._drain(cache, last)
         if holding and self.gap_timeout_ms is not None and self.held.exists():
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.gap_timeout_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.gap_timeout_ms)
         yield from self._commit(key, cache, last)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Give up on the missing votes and apply everything held."""
         last = self.last.get()[0] if self.last.exists() else 0
         cache = {}
