@@ -219,7 +219,7 @@ def records_by_folder(spark, sf):
     """Records written into one folder per group and counted from the files."""
     path = _target(spark, "by-group")
     rows = derived.table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
-    sources.write_by_group(rows, path, "source", files_per_group=4)
+    sources.write_by_group(rows, path, "source")
     stored = spark.read.parquet(path)
     return stored.groupBy(F.concat_ws("/", "source", "lang").alias("dest_dir")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")

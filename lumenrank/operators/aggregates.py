@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenrank.operators.keys import attach
 from lumenrank.operators.positions import with_batch_id
 from lumenrank.tiers import as_tier, tier_table
 
@@ -149,9 +150,7 @@ def min_max_normalise(
     by = list(by)
     bounds = ratings.groupBy(*by).agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
     if by:
-        # one row of bounds per key; the planner broadcasts them only below its
-        # size threshold and otherwise splits skewed keys
-        joined = ratings.join(bounds, by)
+        joined = attach(ratings, bounds, by)
     else:
         joined = ratings.select(
             "*", bounds.select("_lo").scalar().alias("_lo"), bounds.select("_hi").scalar().alias("_hi")

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from lumenrank.session import materialise
 
-MAX_PIVOTS = 256
+MAX_PIVOTS = 2048
+ROWS_AT_ONCE = 1024  # bounds the vectors x pivots matrices in a task
 SLACK = 1e-6
 
 
@@ -37,6 +38,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def choose_pivots(values: DataFrame, n: int, cell_size: int) -> np.ndarray:
     """At most ``MAX_PIVOTS`` vectors in hash order: a bounded driver-side table."""
     k = max(1, min(MAX_PIVOTS, math.ceil(n / cell_size)))
@@ -82,7 +89,7 @@ def vector_pairs(values: DataFrame, eps: float, cell_size: int = 4096, tile: int
     def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(pivots.value)
         homes, guests = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             home, guest = _cells(_matrix(batch.column("features")), pivots.value, radius)
             homes += np.bincount(home, minlength=k)
             guests += guest.sum(axis=0)
@@ -107,9 +114,7 @@ def vector_pairs(values: DataFrame, eps: float, cell_size: int = 4096, tile: int
         A tile is (cell, kind, x, y): kind 0 pairs home blocks x <= y, kind 1
         pairs home block x with guest block y.
         """
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _slices(batches):
             unit = _matrix(batch.column("features"))
             home, guest = _cells(unit, pivots.value, radius)
             ords = batch.column("ord").to_numpy()

@@ -48,13 +48,21 @@ def text_fingerprint(docs: DataFrame, item: str = "doc_id", text: str = "text")
 # ---------------------------------------------------------------- images
 
 
-def _gray(image: dict) -> np.ndarray:
-    """8-bit luma of an image struct (BGR, BGRA or one channel)."""
-    h, w, c = image["height"], image["width"], image["nChannels"]
-    pixels = np.frombuffer(image["data"], np.uint8).reshape(h, w, c).astype(np.float64)
-    if c == 1:
-        return pixels[:, :, 0]
-    return np.floor(LUMA["b"] * pixels[:, :, 0] + LUMA["g"] * pixels[:, :, 1] + LUMA["r"] * pixels[:, :, 2] + 0.5)
+def _pixels(images: DataFrame, item: str, image: str) -> DataFrame:
+    """Image structs as flat columns, which reach Python without nested conversion."""
+    parts = [F.col(f"{image}.{f}").alias(f) for f in ("height", "width", "nChannels", "data")]
+    return images.select(F.col(item).alias("item_id"), *parts)
+
+
+def _grays(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
+    """8-bit luma of each image (BGR, BGRA or one channel)."""
+    for h, w, c, data in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
+        pixels = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.float64)
+        if c == 1:
+            yield pixels[:, :, 0]
+        else:
+            b, g, r = pixels[:, :, 0], pixels[:, :, 1], pixels[:, :, 2]
+            yield np.floor(LUMA["b"] * b + LUMA["g"] * g + LUMA["r"] * r + 0.5)
 
 
 def _describe(gray: np.ndarray) -> list[float]:
@@ -80,13 +88,13 @@ def image_descriptors(images: DataFrame, item: str = "path", image: str = "image
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [_describe(_gray(v)) for v in pdf["image"]]
+            rows = [_describe(gray) for gray in _grays(pdf)]
             out = pd.DataFrame(rows, columns=DESCRIPTORS, dtype="float64")
             out.insert(0, "item_id", pdf["item_id"].to_numpy())
             yield out
 
     schema = f"item_id {kind}, " + ", ".join(f"{d} double" for d in DESCRIPTORS)
-    return images.select(F.col(item).alias("item_id"), F.col(image).alias("image")).mapInPandas(run, schema)
+    return _pixels(images, item, image).mapInPandas(run, schema)
 
 
 def _area_weights(n_out: int, n_in: int) -> np.ndarray:
@@ -124,16 +132,14 @@ def phash(images: DataFrame, hash_size: int = 8, item: str = "path", image: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = []
-            for value in pdf["image"]:
+            for gray in _grays(pdf):
                 bits = np.zeros(64 * n_words, np.uint8)
-                found = _phash(_gray(value), hash_size)
+                found = _phash(gray, hash_size)
                 bits[: len(found)] = found
                 words.append(np.packbits(bits, bitorder="little").view("<i8").tolist())
             yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(), "words": words})
 
-    hashed = images.select(F.col(item).alias("item_id"), F.col(image).alias("image")).mapInPandas(
-        run, f"item_id {kind}, words array<bigint>"
-    )
+    hashed = _pixels(images, item, image).mapInPandas(run, f"item_id {kind}, words array<bigint>")
     if n_words == 1:
         return hashed.select("item_id", F.get("words", F.lit(0)).alias("h"))
     return hashed.withColumnRenamed("words", "h")

@@ -9,7 +9,7 @@ from lumenrank import functions as fn
 from lumenrank.operators.cosine import distinct_vectors, vector_pairs
 from lumenrank.operators.hamming import distinct_values, value_pairs
 from lumenrank.operators.positions import with_position
-from lumenrank.session import materialise
+from lumenrank.session import Rounds, materialise
 
 
 # ---------------------------------------------------------------- leader groups
@@ -25,7 +25,7 @@ def lead_members(edges: DataFrame) -> DataFrame:
     sequential scan.
     """
     edges = materialise(edges.select("ord_a", "ord_b"), "edges")
-    open_edges, claimed = edges, None
+    open_edges, claimed, rounds = edges, None, Rounds("open-edges")
     while not open_edges.isEmpty():
         waiting = open_edges.select(F.col("ord_b").alias("ord_a")).distinct()
         leaders = open_edges.select("ord_a").distinct().join(waiting, "ord_a", "left_anti")
@@ -34,11 +34,10 @@ def lead_members(edges: DataFrame) -> DataFrame:
         )
         claimed = now if claimed is None else claimed.unionByName(now)
         settled = leaders.select(F.col("ord_a").alias("ord")).unionByName(now)
-        open_edges = materialise(
+        open_edges = rounds.save(
             open_edges.join(settled.withColumnRenamed("ord", "ord_a"), "ord_a", "left_anti").join(
                 now.withColumnRenamed("ord", "ord_b"), "ord_b", "left_anti"
-            ),
-            "open-edges",
+            )
         )
     if claimed is None:
         return edges.select(F.col("ord_b").alias("ord"), F.col("ord_a").alias("leader")).filter(F.lit(False))
@@ -96,11 +95,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     which combine map-side, so a hub with a third of all edges is never
     gathered.
     """
-    current = materialise(
+    rounds = Rounds("stars")
+    current = rounds.save(
         edges.select(F.greatest("ord_a", "ord_b").alias("u"), F.least("ord_a", "ord_b").alias("v"))
         .filter(F.col("u") != F.col("v"))
-        .distinct(),
-        "stars",
+        .distinct()
     )
     while not _is_flat(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -111,7 +110,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         moved = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = low.select("u", F.col("m").alias("v"))
-        current = materialise(moved.unionByName(own).distinct(), "stars")
+        current = rounds.save(moved.unionByName(own).distinct())
     members = current.select(F.col("u").alias("ord"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("ord"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

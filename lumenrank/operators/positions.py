@@ -14,8 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenrank.operators.keys import attach
 from lumenrank.session import materialise, shuffle_partitions
 
+GROUP_LIMIT = 1000  # the planner's threshold for limits per key
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 
 
@@ -51,14 +53,11 @@ def with_position(
         Window.unboundedPreceding, -1
     )
     offsets = slices.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
-        F.col("_slice").alias("_by_slice"),
+        *by,
+        "_slice",
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + start).alias("_shift"),
     )
-    match = F.col("_slice") == F.col("_by_slice")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return numbered.join(offsets, match, "inner").select(
+    return attach(numbered, offsets, ["_slice", *by]).select(
         *df.columns, (F.col("_mid") + F.col("_shift")).alias(name)
     )
 
@@ -80,30 +79,33 @@ def order_by_score(df: DataFrame, score: str = "score", item: str = "item_id") -
     return df.orderBy(F.col(score).desc_nulls_last(), F.col(item).asc())
 
 
+def _first_per_key(df: DataFrame, n: int, by: Sequence[str], order: list[Column], name: str) -> DataFrame:
+    """Rows 1..n of each key.
+
+    For a small ``n`` the planner cuts every key to ``n`` rows in each map task
+    before the exchange (window group limit), which also settles large keys.
+    """
+    if n > GROUP_LIMIT:
+        return with_position(df, order, by, name, start=1).filter(F.col(name) <= n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn(name, place).filter(F.col(name) <= n).withColumn(name, F.col(name).cast("bigint"))
+
+
 def top_board(
     df: DataFrame, n: int = 15, score: str = "score", item: str = "item", by: Sequence[str] = ()
 ) -> DataFrame:
-    """The best ``n`` rows per key with the number of remaining rows.
-
-    Candidates are cut to ``n`` per (key, salt) before they meet, so a large
-    key is reduced where its rows are.
-    """
-    by = list(by)
-    if not by:
-        total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
-        counted = order_by_score(df, score, item).limit(n).withColumn("_total", total)
-        order = Window.partitionBy(F.lit(0)).orderBy(F.col(score).desc_nulls_last(), F.col(item))
+    """The best ``n`` rows per key with the number of remaining rows."""
+    order = [F.col(score).desc_nulls_last(), F.col(item).asc()]
+    if by:
+        best = _first_per_key(df, n, by, order, "rank")
+        counted = attach(best, df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")), by)
     else:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(64)))
-        first = Window.partitionBy(*by, "_salt").orderBy(F.col(score).desc_nulls_last(), F.col(item))
-        cut = salted.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n)
-        total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-        counted = cut.drop("_rn", "_salt").join(total, by)
-        order = Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), F.col(item))
-    # at most 64 * n rows per key reach this window
-    ranked = counted.withColumn("rank", F.row_number().over(order).cast("bigint"))
+        total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
+        best = df.orderBy(*order).limit(n)
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # n rows
+        counted = best.withColumn("rank", place.cast("bigint")).withColumn("_total", total)
     rest = F.greatest(F.col("_total") - n, F.lit(0)).cast("bigint")
-    return ranked.filter(F.col("rank") <= n).withColumn("n_others", rest).drop("_total")
+    return counted.withColumn("n_others", rest).drop("_total")
 
 
 def first_by_name(items: DataFrame, n: int = 10, name: str = "name", by: Sequence[str] = ()) -> DataFrame:
@@ -111,16 +113,7 @@ def first_by_name(items: DataFrame, n: int = 10, name: str = "name", by: Sequenc
     order = [F.lower(F.col(name)).asc(), F.col(name).asc()]
     if not by:
         return items.orderBy(*order).limit(n)
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(name), F.lit(64)))
-    local = Window.partitionBy(*by, "_salt").orderBy(*order)
-    final = Window.partitionBy(*by).orderBy(*order)
-    return (
-        salted.withColumn("_rn", F.row_number().over(local))
-        .filter(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(final))
-        .filter(F.col("_rn") <= n)
-        .drop("_rn", "_salt")
-    )
+    return _first_per_key(items, n, by, order, "_rn").drop("_rn")
 
 
 def first_pending(items: DataFrame, done: DataFrame, start: int = 0, idx: str = "idx", on: str = "item_id") -> DataFrame:

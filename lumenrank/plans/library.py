@@ -19,7 +19,8 @@ from lumenrank.operators.metrics import accuracy_mse_rmse, align, classification
 from lumenrank.operators.positions import with_position
 from lumenrank.operators.ranking import process_votes, rankings, session_status
 from lumenrank.operators.scoring import class_predictions, score_batches
-from lumenrank.sources.items import labels_from_folders, split_readable
+from lumenrank.session import materialise
+from lumenrank.sources.items import label_from_folder, labels_from_folders, split_readable
 
 
 class ScoreReport(NamedTuple):
@@ -32,7 +33,8 @@ def score_library(
     items: DataFrame, make_predict: Callable, input_col: str, threshold: float | None = None, item: str = "item_id"
 ) -> ScoreReport:
     """Score every item, apply the confidence threshold, summarise."""
-    predictions = class_predictions(score_batches(items, make_predict, input_col, item))
+    # summary and distribution read the scores again; the model runs once
+    predictions = materialise(class_predictions(score_batches(items, make_predict, input_col, item)), "scores")
     kept = filter_confidence(predictions, threshold)
     return ScoreReport(kept, prediction_summary(kept), tier_distribution(kept))
 
@@ -78,10 +80,23 @@ def evaluate_predictions(predictions: DataFrame, truth: DataFrame, on: str = "it
     return Evaluation(confusion_matrix(scored), classification_report(scored), accuracy_mse_rmse(scored))
 
 
+def evaluate_classifier(
+    items: DataFrame, make_predict: Callable, input_col: str, truth: DataFrame, item: str = "item_id"
+) -> Evaluation:
+    """Score a test set with any batch classifier and evaluate it."""
+    predictions = class_predictions(score_batches(items, make_predict, input_col, item))
+    # the three reports share the scores; the model runs once
+    scores = materialise(predictions.select("item_id", "success", "predicted_quality"), "scores")
+    return evaluate_predictions(scores, truth)
+
+
 def train_forest_from_images(images: DataFrame, strict: bool = False, **params: object) -> tuple[PipelineModel, DataFrame]:
     """Images in ``quality_N`` folders -> descriptor forest and test metrics."""
     good, _ = split_readable(images)
     labelled = labels_from_folders(good)
     check_classes(labelled, strict=strict)
-    described = image_descriptors(labelled).join(labelled.select(F.col("path").alias("item_id"), "label"), "item_id")
+    # a forest reads its training rows once per depth; the images are decoded once
+    described = materialise(image_descriptors(labelled), "descriptors").withColumn(
+        "label", label_from_folder(F.col("item_id"))
+    )
     return train_quality_forest(described, **params)

@@ -61,11 +61,35 @@ def materialise(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The current table of an iteration.
+
+    ``save`` writes the next one and then deletes the one before, so a long
+    iteration holds two tables on shared storage at most. Only for tables that
+    nothing but the next round reads.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def save(self, df: DataFrame) -> DataFrame:
+        spark, previous = df.sparkSession, self.path
+        self.path = f"{scratch_root(spark)}/{self.name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        if previous:
+            _delete(spark, previous)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:

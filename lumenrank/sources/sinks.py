@@ -78,17 +78,14 @@ def write_duel_history(history: DataFrame, path: str) -> None:
     history.select("session_id", *columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_by_group(
-    records: DataFrame, path: str, group_col: str = "dest_dir", fmt: str = "parquet", files_per_group: int = 1
-) -> None:
+def write_by_group(records: DataFrame, path: str, group_col: str = "dest_dir", fmt: str = "parquet") -> None:
     """One folder per group value.
 
-    Rows are spread over ``files_per_group`` salted tasks per group, so one
-    large group does not end in a single task.
+    The rebalance hint gathers small groups in few files and splits a large
+    group into several tasks by its measured size.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in records.columns if c != group_col]), F.lit(files_per_group))
-    spread = records.withColumn("_salt", salt).repartition(group_col, "_salt").drop("_salt")
-    spread.write.mode("overwrite").partitionBy(group_col).format(fmt).save(path)
+    balanced = records.hint("rebalance", F.col(group_col))
+    balanced.write.mode("overwrite").partitionBy(group_col).format(fmt).save(path)
 
 
 def write_ml_model(model: PipelineModel, path: str) -> None:
