@@ -142,13 +142,14 @@ def rank_within_key(spark, sf):
     rows = derived.table(spark, sf, "lineitem").select(
         "l_suppkey", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey").alias("item"), "l_extendedprice"
     )
-    return positions.rank_by_score(rows, "l_extendedprice", "item", ["l_suppkey"]).select("l_suppkey", "item", "rank")
+    return positions.rank_by_score(rows, "l_extendedprice", "item", ["l_suppkey"], small_bytes=0).select("l_suppkey", "item", "rank")
 
 
 @query("select event_id, row_number() over (order by ts, event_id) - 1 pos from events")
 def global_position(spark, sf):
     events = derived.table(spark, sf, "events").select("ts", "event_id")
-    return positions.with_position(events, ["ts", "event_id"]).select("event_id", "pos")
+    placed = positions.with_position(events, ["ts", "event_id"], small_bytes=0)
+    return placed.select("event_id", "pos")
 
 
 @query(
@@ -156,7 +157,8 @@ def global_position(spark, sf):
 )
 def position_within_key(spark, sf):
     events = derived.table(spark, sf, "events").select("ts", "event_id", "user_id")
-    return positions.with_position(events, ["ts", "event_id"], ["user_id"], start=1).select("event_id", "user_id", "pos")
+    placed = positions.with_position(events, ["ts", "event_id"], ["user_id"], start=1, small_bytes=0)
+    return placed.select("event_id", "user_id", "pos")
 
 
 @query("select event_id, (row_number() over (order by ts, event_id) - 1) // 100 + 1 batch from events")

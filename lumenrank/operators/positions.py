@@ -1,4 +1,4 @@
-"""Row positions, ranks and limits that never gather a group in one task.
+"""Row positions, ranks and limits that never gather a large group in one task.
 
 A window partitioned by a key sends every row of that key to one task. Here
 the rows are range-partitioned by (key, order) instead, so a key that holds a
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenrank.operators.keys import attach
-from lumenrank.session import materialise, shuffle_partitions
+from lumenrank.session import estimated_bytes, materialise, shuffle_partitions
 
+SMALL_BYTES = 32 << 20
 GROUP_LIMIT = 1000  # the planner's threshold for limits per key
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 
@@ -27,15 +28,21 @@ def with_position(
     by: Sequence[str] = (),
     name: str = "pos",
     start: int = 0,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Append the position of each row under ``order`` inside its ``by`` key.
 
     ``order`` must be unique inside a key. The numbered rows are written to
     shared storage, because a second evaluation could choose other range
-    boundaries.
+    boundaries. Only a table below ``small_bytes``, by the planner's estimate,
+    is numbered by a plain window, as none of its keys can be large.
     """
     by = list(by)
-    keys = [F.col(c).asc_nulls_first() for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
+    ordering = [F.col(o) if isinstance(o, str) else o for o in order]
+    if estimated_bytes(df) <= small_bytes:
+        window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*ordering)
+        return df.withColumn(name, (F.row_number().over(window) + (start - 1)).cast("bigint"))
+    keys = [F.col(c).asc_nulls_first() for c in by] + ordering
     ranged = (
         df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys)
         .sortWithinPartitions(*keys)
@@ -69,10 +76,12 @@ def with_batch_id(df: DataFrame, order: Sequence[str | Column], size: int = 100)
 
 
 def rank_by_score(
-    df: DataFrame, score: str = "score", item: str = "item", by: Sequence[str] = (), name: str = "rank"
+    df: DataFrame, score: str = "score", item: str = "item", by: Sequence[str] = (), name: str = "rank",
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Positions 1..n from the best score down, ties in item order."""
-    return with_position(df, [F.col(score).desc_nulls_last(), F.col(item).asc()], by, name, start=1)
+    order = [F.col(score).desc_nulls_last(), F.col(item).asc()]
+    return with_position(df, order, by, name, start=1, small_bytes=small_bytes)
 
 
 def order_by_score(df: DataFrame, score: str = "score", item: str = "item_id") -> DataFrame:

@@ -167,7 +167,7 @@ def test_unknown_output_format(spark, tmp_path):
 
 def test_position_of_a_key_with_most_rows(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(1)).alias("k"), "id")
-    placed = positions.with_position(df, [F.col("id").desc()], ["k"], start=1)
+    placed = positions.with_position(df, [F.col("id").desc()], ["k"], start=1, small_bytes=0)
     hot = sorted((r.pos, r.id) for r in placed.filter("k = 1").collect())
     assert [p for p, _ in hot] == list(range(1, len(hot) + 1))
     assert [i for _, i in hot] == sorted((i for _, i in hot), reverse=True)
@@ -175,15 +175,16 @@ def test_position_of_a_key_with_most_rows(spark):
 
 def test_position_spreads_a_hot_key_over_tasks(spark):
     df = spark.range(20_000).select(F.lit(1).alias("k"), "id")
-    placed = positions.with_position(df, ["id"], ["k"])
+    placed = positions.with_position(df, ["id"], ["k"], small_bytes=0)
     sizes = placed.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 1
 
 
 def test_position_with_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, o int")
-    got = {(r.k, r.o): r.pos for r in positions.with_position(df, ["o"], ["k"]).collect()}
-    assert got == {(None, 1): 0, (None, 2): 1, ("a", 1): 0}
+    for small in (0, 1 << 40):
+        placed = positions.with_position(df, ["o"], ["k"], small_bytes=small).collect()
+        assert {(r.k, r.o): r.pos for r in placed} == {(None, 1): 0, (None, 2): 1, ("a", 1): 0}
 
 
 def test_top_board_counts_the_rest(spark):
