@@ -267,19 +267,22 @@ SQL["annotation_log"] = """
  select doc_id, 1 - quality, timestamp '2024-02-01 00:00:00' + doc_id * interval 1 second, 2 * doc_id + 1 from labels where toxic = 0"""
 
 
+JANUARY, FEBRUARY = 1704067200, 1706745600  # 2024-01-01 and 2024-02-01 UTC
+
+
 def annotation_log(spark: SparkSession, sf: str) -> DataFrame:
     """Labels as a log in which clean items were labelled again later."""
     rows = table(spark, sf, "labels")
 
-    def at(start: str):
-        return F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(start))) + F.col("doc_id"))
+    def at(start: int):
+        return F.timestamp_seconds(F.lit(start) + F.col("doc_id"))
 
     first = rows.select(
-        F.col("doc_id").alias("item_id"), F.col("quality").alias("label"), at("2024-01-01 00:00:00").alias("ts"),
+        F.col("doc_id").alias("item_id"), F.col("quality").alias("label"), at(JANUARY).alias("ts"),
         (2 * F.col("doc_id")).alias("row_num"),
     )
     again = rows.filter("toxic = 0").select(
-        F.col("doc_id").alias("item_id"), (1 - F.col("quality")).alias("label"), at("2024-02-01 00:00:00").alias("ts"),
+        F.col("doc_id").alias("item_id"), (1 - F.col("quality")).alias("label"), at(FEBRUARY).alias("ts"),
         (2 * F.col("doc_id") + 1).alias("row_num"),
     )
     return first.unionByName(again)

@@ -165,7 +165,7 @@ def annotations_as_csv(spark, sf):
     log = derived.annotation_log(spark, sf).select(
         F.format_string("doc_%d", "item_id").alias("image_path"), "label", "ts"
     )
-    cut = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    cut = F.timestamp_seconds(F.lit(derived.FEBRUARY))
     sources.append_annotations(log.filter(F.col("ts") < cut), path)
     sources.append_annotations(log.filter(F.col("ts") >= cut), path)
     bad = derived.table(spark, sf, "labels").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenrank.operators.keys import attach
 from lumenrank.operators.positions import with_batch_id
-from lumenrank.tiers import as_tier, tier_table
+from lumenrank.tiers import tier_table
 
 
 def prediction_summary(predictions: DataFrame) -> DataFrame:
@@ -162,7 +162,3 @@ def min_max_normalise(
 
 def groups_of_two_or_more(members: DataFrame, group: str = "leader_id") -> DataFrame:
     return members.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
-def tier_or_null(value: Column) -> Column:
-    return as_tier(value)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenrank import functions as fn
 from lumenrank.operators.cosine import distinct_vectors, vector_pairs
 from lumenrank.operators.hamming import distinct_values, value_pairs
 from lumenrank.operators.positions import with_position
@@ -105,7 +104,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter(F.col("u") != F.col("v")).distinct()
+        large = large.filter(F.col("u") != F.col("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         moved = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -138,6 +137,8 @@ def density_clusters(
     edges = materialise(vector_pairs(values, eps).select("ord_a", "ord_b"), "edges")
     # zero vectors have no direction: each one is its own only neighbour
     zeros = rows.filter(~F.exists("features", lambda x: x != 0)).select("ord", F.lit(1).cast("bigint").alias("n_copies"))
+    if eps >= 1 and not zeros.isEmpty():
+        raise ValueError("with eps of 1 or more a zero vector would be near every item; remove zero vectors first")
     nodes = values.select("ord", "n_copies").unionByName(zeros)
     both = edges.unionByName(edges.select(F.col("ord_b").alias("ord_a"), F.col("ord_a").alias("ord_b")))
     around = (
@@ -174,7 +175,3 @@ def density_clusters(
         first = ids.join(later, "ord", "left").withColumn("first", F.coalesce("first", "ord"))
         label = first.join(labelled.withColumnRenamed("ord", "first"), "first", "left")
     return label.select("item_id", "ord", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
-
-
-def normalised(vectors: DataFrame, features: str = "features") -> DataFrame:
-    return vectors.withColumn(features, fn.l2_normalise(F.col(features)))

@@ -88,10 +88,17 @@ def bucket_stats(values: DataFrame, m: int, t: int) -> tuple[int, int]:
 
 def choose_bands(values: DataFrame, t: int, per_value: int = 64, max_keys: int = 128) -> tuple[int, int]:
     """Fewest bands whose candidate pairs stay within ``per_value`` per value,
-    with the size of their largest key."""
-    budget = per_value * values.count()
-    best = None
+    with the size of their largest key.
+
+    Starts where evenly spread values would meet the bound, so one pass over
+    the keys usually settles it.
+    """
+    n = values.count()
+    budget = per_value * n
     m = t + 1
+    while comb(m, t) * n / 2 ** (WORD * (m - t) // m) > per_value and comb(m + 1, t) <= max_keys:
+        m += 1
+    best = None
     while best is None or comb(m, t) <= max_keys:
         pairs, largest = bucket_stats(values, m, t)
         if best is None or pairs < best[0]:

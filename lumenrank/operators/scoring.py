@@ -1,6 +1,6 @@
 """Batch scoring with a caller's function.
 
-The caller supplies ``make_predict``, called once per Python worker task, whose
+The caller supplies ``make_predict``, called once per Python worker, whose
 result maps a list of inputs to a list of outputs (logits, a distribution, or a
 number in a one-element list). A batch that raises is retried row by row, so a
 bad item becomes a failed row and its neighbours keep their scores.
@@ -8,9 +8,11 @@ bad item becomes a failed row and its neighbours keep their scores.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,15 @@ def score_batches(
 ) -> DataFrame:
     """``item, output array<double>, success, error`` for every input row."""
     kind = items.schema[item].dataType.simpleString()
+    key = uuid.uuid4()
+
+    def load() -> PredictBatch:
+        """The model, kept between the tasks of a reused worker."""
+        predict = ModelCache.get(key)
+        if predict is None:
+            predict = make_predict()
+            ModelCache.add(key, predict)
+        return predict
 
     def one(predict: PredictBatch, value: object) -> tuple:
         try:
@@ -37,7 +48,7 @@ def score_batches(
             return None, False, f"{type(exc).__name__}: {exc}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = make_predict()
+        predict = load()
         for pdf in batches:
             values = pdf["value"].tolist()
             results: list[tuple] = []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenrank.operators.aggregates import cluster_stats, prediction_summary, tier_distribution
 from lumenrank.operators.filters import filter_confidence
 from lumenrank.operators.fingerprints import image_descriptors, phash
-from lumenrank.operators.grouping import density_clusters, leader_groups, normalised
+from lumenrank.operators.grouping import density_clusters, leader_groups
 from lumenrank.operators.layout import layout_by_cluster, layout_by_dup_group
 from lumenrank.operators.learning import check_classes, train_quality_forest
 from lumenrank.operators.metrics import accuracy_mse_rmse, align, classification_report, confusion_matrix
@@ -54,10 +54,14 @@ def duplicate_report(images: DataFrame, threshold: int = 5, hash_size: int = 8)
 def semantic_grouping(
     vectors: DataFrame, eps: float = 0.5, min_samples: int = 2, item: str = "item_id", path: str = "path"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Feature vectors -> clusters, their layout and their statistics."""
-    unit = normalised(vectors)
+    """Feature vectors -> clusters, their layout and their statistics.
+
+    The vectors need not have unit length: the cosine join normalises them in
+    its tasks.
+    """
     order = item if "ord" not in vectors.columns else "ord"
-    labelled = density_clusters(unit, eps, min_samples, item, order)
+    # the layout and the statistics share the labels; the clustering runs once
+    labelled = materialise(density_clusters(vectors, eps, min_samples, item, order), "labels")
     located = labelled.join(vectors.select(F.col(item).alias("item_id"), path), "item_id")
     return labelled, layout_by_cluster(located, path=path), cluster_stats(labelled)
 

@@ -50,9 +50,9 @@ def manifest(predictions: DataFrame) -> DataFrame:
 
 def annotation_rows(labels: DataFrame) -> DataFrame:
     """Log rows for validated labels: UTC time and the tier's class name."""
+    utc = F.to_utc_timestamp(F.coalesce(F.col("ts"), F.current_timestamp()), F.current_timezone())
     return labels.select(
-        F.date_format(F.coalesce(F.col("ts"), F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        .alias("timestamp"),
+        F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         "image_path",
         F.col("label").cast("int").alias("label"),
         tier_folder(F.col("label")).alias("class_name"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenrank import schemas
 from lumenrank import functions as fn
-from lumenrank.operators.filters import pack_probs, valid_label
+from lumenrank.operators.filters import pack_probs
 from lumenrank.operators.positions import with_position
 from lumenrank.tiers import as_tier
 
@@ -55,10 +55,13 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clean_annotations(log: DataFrame) -> DataFrame:
-    """Drop log rows with an empty item or a label that is not a whole number."""
+    """Drop log rows with an empty item or a label that is not a whole number.
+
+    Log times are UTC without a zone.
+    """
     item = F.trim("image_path")
     return log.select(
-        F.col("timestamp").try_cast("timestamp").alias("ts"),
+        F.from_utc_timestamp(F.col("timestamp").try_cast("timestamp"), F.current_timezone()).alias("ts"),
         item.alias("image_path"),
         F.trim("label").try_cast("int").alias("label"),
         "class_name",
@@ -104,7 +107,3 @@ def read_duel_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_duels(spark: SparkSession, path: str) -> DataFrame:
     return schemas.require_columns(spark.read.parquet(path), ["session_id", "seq", "winner", "loser"])
-
-
-def check_annotation_labels(log: DataFrame) -> DataFrame:
-    return log.filter(valid_label(F.col("label")))
