@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.llm.registry import documents, query
-from lumenrank.llm.text import SPACE, indexes, words
+from lumenrank.llm.text import SPACE, indexes, solid, words
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -149,7 +149,7 @@ def judge(
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that every rule accepts, with their own columns."""
-    return judge(docs, text, rules).filter("kept").select("row.*")
+    return solid(judge(docs, text, rules).select("row", "kept"), F.col("kept")).select("row.*")
 
 
 SQL = """

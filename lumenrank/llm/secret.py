@@ -111,21 +111,21 @@ def matches(body: Column, pattern: str, keep: Column | None = None) -> Column:
     return F.when(body.rlike(pattern), placed).otherwise(empty)
 
 
+def _named(found: Column, order: int, kind: str) -> Column:
+    """Places of matches as spans of a kind."""
+    return F.transform(
+        found,
+        lambda m: F.struct(
+            m.start.alias("start"), F.lit(order).alias("kind_order"), m.end.alias("end"), F.lit(kind).alias("kind")
+        ),
+    ).cast(_SPAN)
+
+
 def base_spans(body: Column) -> Column:
     """Base spans of a text as an array of structs, by start and kind."""
     long_enough = F.transform(F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 8)
-    spans = []
-    for order, (kind, pattern, keep) in enumerate(
-        (("assign", ASSIGN, long_enough), ("access", ACCESS, None), ("hex", HEX, None))
-    ):
-        spans.append(
-            F.transform(
-                matches(body, pattern, keep),
-                lambda m, o=order, k=kind: F.struct(
-                    m.start.alias("start"), F.lit(o).alias("kind_order"), m.end.alias("end"), F.lit(k).alias("kind")
-                ),
-            ).cast(_SPAN)
-        )
+    found = (matches(body, ASSIGN, long_enough), matches(body, ACCESS), matches(body, HEX))
+    spans = [_named(m, order, kind) for order, (kind, m) in enumerate(zip(BASE_KINDS, found))]
     return F.sort_array(F.concat(*spans))
 
 
@@ -255,6 +255,10 @@ def _joined(spans: Column) -> Column:
     )
 
 
+def _count_kind(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s.kind == kind)).cast("bigint")
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """``doc_id``, counts of base spans, ``base`` and ``spans`` for every row."""
     body = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
@@ -272,13 +276,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ra
             ok = ok | ((t.band == band) & (t.bin >= bin_))
         return ok & t.free
 
-    added = F.transform(
-        F.filter("tokens", let_through),
-        lambda t: F.struct(t.start.alias("start"), F.lit(len(BASE_KINDS)).alias("kind_order"), t.end.alias("end"), F.lit(RANDOM).alias("kind")),
-    ).cast(_SPAN)
-    counted = [
-        F.size(F.filter("base", lambda s, k=kind: s.kind == k)).cast("bigint").alias(f"n_{kind}") for kind in BASE_KINDS
-    ]
+    added = _named(F.filter("tokens", let_through), len(BASE_KINDS), RANDOM)
+    counted = [_count_kind(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return tested.select(
         "doc_id", *counted, _joined(F.col("base")).alias("base"),
         _joined(F.sort_array(F.concat(F.col("base"), added))).alias("spans"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\f\r"  # 0x20 and 0x09 to 0x0D separate words
@@ -38,3 +38,14 @@ def lower_words(text: Column) -> Column:
 def indexes(n: Column) -> Column:
     """0 .. n - 1, empty for n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def solid(df: DataFrame, condition: Column) -> DataFrame:
+    """``df`` filtered after its columns are computed.
+
+    A plain filter is moved below the projections with all their expressions
+    put in, where an array computed once is computed for each element of a
+    lambda. The partition number, which can't be moved, holds it in place.
+    """
+    held = df.withColumn("_held", F.spark_partition_id())
+    return held.filter(condition & (F.col("_held") >= 0)).drop("_held")
