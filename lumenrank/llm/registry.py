@@ -27,6 +27,7 @@ def load() -> None:
     from lumenrank.llm import (  # noqa: F401
         decontaminate,
         language,
+        licence,
         packing,
         private,
         quality,

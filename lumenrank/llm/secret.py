@@ -13,7 +13,7 @@ bounded histogram.
    token that is not random enough is no secret.
 3. Against ordinary identifiers two statistics give a p-value whose power
    grows with the length: changes between letters and digits or cases, and
-   repeated symbols compared with European text. These p-values are
+   repeated letters, whatever their case, compared with European text. These p-values are
    hypotheses of one family per length band, and the Benjamini-Hochberg
    bound, on a histogram of all candidates, controls false discoveries.
 
@@ -50,7 +50,7 @@ BINS_PER_DECADE, TOP_BIN = 10, 400
 # Chance that two letters of European text are equal, and that three are.
 PAIR_MATCH, TRIPLE_MATCH = 0.066, 0.0055
 # Share of neighbours of unlike class (lower, upper, digit, mark) in ordinary identifiers.
-CLASS_CHANGE = 0.15
+CLASS_CHANGE = 0.2
 
 _SPAN = "array<struct<start:bigint,kind_order:int,end:bigint,kind:string>>"
 
@@ -165,19 +165,26 @@ def battery(token: Column) -> Column:
         plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "A" * 26 + "a" * 26 + "0" * 10 + "++"
     ), "")
 
+    def squares(text: Column, chars: Column) -> Column:
+        """Sum of the squared counts of the symbols."""
+        return F.aggregate(
+            F.array_distinct(chars), F.lit(0.0),
+            lambda acc, c: acc + F.pow((F.length(text) - F.length(F.replace(text, c))).cast("double"), F.lit(2.0)),
+        )
+
     def measure(x: Column) -> Column:
         """x: text, alphabet, chars, classes."""
         n, k = F.length(x.text).cast("double"), F.length(x.alphabet).cast("double")
-        squares = F.aggregate(
-            F.array_distinct(x.chars), F.lit(0.0),
-            lambda acc, c: acc + F.pow((F.length(x.text) - F.length(F.replace(x.text, c))).cast("double"), F.lit(2.0)),
-        )
+        folded = F.lower(x.text)
         values = F.transform(x.chars, lambda c: F.instr(x.alphabet, c).cast("double") - (F.length(x.alphabet) + 1) / 2)
         inner = F.sequence(F.lit(1), F.length(x.text) - 1)
         return let(
-            F.struct(values.alias("v"), squares.alias("sq"), n.alias("n"), k.alias("k")),
+            F.struct(
+                values.alias("v"), squares(x.text, x.chars).alias("sq"),
+                squares(folded, F.transform(x.chars, lambda c: F.lower(c))).alias("folded"), n.alias("n"), k.alias("k"),
+            ),
             lambda y: F.struct(
-                y.n.alias("n"), y.k.alias("k"), y.sq.alias("sq"),
+                y.n.alias("n"), y.k.alias("k"), y.sq.alias("sq"), y.folded.alias("folded"),
                 F.aggregate(inner, F.lit(0.0), lambda acc, i: acc + F.get(y.v, i) * F.get(y.v, i - 1)).alias("lag"),
                 F.size(F.filter(inner, lambda i: (F.get(y.v, i) > 0) != (F.get(y.v, i - 1) > 0))).cast("double").alias("turns"),
                 F.size(F.filter(y.v, lambda v: v > 0)).cast("double").alias("high"),
@@ -196,7 +203,7 @@ def battery(token: Column) -> Column:
         z_lag = m.lag / (variance * F.sqrt(n - 1))
         p_random = _fisher([normal_tail(z_chi), 2 * normal_tail(F.abs(z_runs)), 2 * normal_tail(F.abs(z_lag))])
         z_change = (m.changes - 0.5 - (n - 1) * CLASS_CHANGE) / F.sqrt((n - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE))
-        pairs = (m.sq - n) / (n * (n - 1))
+        pairs = (m.folded - n) / (n * (n - 1))
         spread_pairs = F.sqrt(
             (4 * (n - 2) * (TRIPLE_MATCH - PAIR_MATCH**2) + 2 * (PAIR_MATCH - PAIR_MATCH**2)) / (n * (n - 1))
         )
