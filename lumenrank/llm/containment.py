@@ -64,7 +64,7 @@ def bit_table(hashes: DataFrame, h: str = "h", bits: int = TABLE_BITS) -> Column
     return rows.agg(F.transform(F.sort_array(F.collect_list("_w")), lambda w: w.b).alias("t")).scalar()
 
 
-def _in_table(table: Column, h: Column, bits: int = TABLE_BITS) -> Column:
+def in_table(table: Column, h: Column, bits: int = TABLE_BITS) -> Column:
     tests = [
         F.getbit(F.get(table, F.shiftright(p, _WORD).cast("int")), p.bitwiseAND(F.lit((1 << _WORD) - 1)).cast("int")) == 1
         for p in _probes(h, bits)
@@ -90,7 +90,7 @@ def shared_shingles(docs: DataFrame, table: Column, id_col: str, text: str, k: i
     )
     hashed = words.select("doc_id", "t", shingle_hashes(F.col("_words"), k).alias("_h"), table.alias("_table"))
     h = F.col("_h")
-    passing = F.filter(indexes(F.size(h)), lambda i: _in_table(F.col("_table"), F.get(h, i)))
+    passing = F.filter(indexes(F.size(h)), lambda i: in_table(F.col("_table"), F.get(h, i)))
     return hashed.select(
         "doc_id", "t", F.transform(passing, lambda i: F.struct(i.alias("i"), F.get(h, i).alias("h"))).alias("hits")
     )

@@ -28,6 +28,7 @@ def load() -> None:
         decontaminate,
         language,
         licence,
+        lines,
         packing,
         private,
         quality,
