@@ -25,6 +25,7 @@ def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def load() -> None:
     """Import every module that registers queries."""
     from lumenrank.llm import (  # noqa: F401
+        counts,
         decontaminate,
         language,
         licence,
