@@ -142,13 +142,13 @@ def rank_within_key(spark, sf):
     rows = derived.table(spark, sf, "lineitem").select(
         "l_suppkey", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey").alias("item"), "l_extendedprice"
     )
-    return positions.rank_by_score(rows, "l_extendedprice", "item", ["l_suppkey"], small_bytes=0).select("l_suppkey", "item", "rank")
+    return positions.rank_by_score(rows, "l_extendedprice", "item", ["l_suppkey"]).select("l_suppkey", "item", "rank")
 
 
 @query("select event_id, row_number() over (order by ts, event_id) - 1 pos from events")
 def global_position(spark, sf):
     events = derived.table(spark, sf, "events").select("ts", "event_id")
-    placed = positions.with_position(events, ["ts", "event_id"], small_bytes=0)
+    placed = positions.with_position(events, ["ts", "event_id"])
     return placed.select("event_id", "pos")
 
 
@@ -157,7 +157,7 @@ def global_position(spark, sf):
 )
 def position_within_key(spark, sf):
     events = derived.table(spark, sf, "events").select("ts", "event_id", "user_id")
-    placed = positions.with_position(events, ["ts", "event_id"], ["user_id"], start=1, small_bytes=0)
+    placed = positions.with_position(events, ["ts", "event_id"], ["user_id"], start=1)
     return placed.select("event_id", "user_id", "pos")
 
 

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenrank.operators.keys import attach
-from lumenrank.session import estimated_bytes, materialise, shuffle_partitions
+from lumenrank.session import materialise, shuffle_partitions
 
-SMALL_BYTES = 32 << 20
-GROUP_LIMIT = 1000  # the planner's threshold for limits per key
+SALTS = 32  # parts that a key is dealt into before its first rows are sought
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 
 
@@ -28,20 +27,15 @@ def with_position(
     by: Sequence[str] = (),
     name: str = "pos",
     start: int = 0,
-    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Append the position of each row under ``order`` inside its ``by`` key.
 
     ``order`` must be unique inside a key. The numbered rows are written to
     shared storage, because a second evaluation could choose other range
-    boundaries. Only a table below ``small_bytes``, by the planner's estimate,
-    is numbered by a plain window, as none of its keys can be large.
+    boundaries. Tables of any size take this path.
     """
     by = list(by)
     ordering = [F.col(o) if isinstance(o, str) else o for o in order]
-    if estimated_bytes(df) <= small_bytes:
-        window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*ordering)
-        return df.withColumn(name, (F.row_number().over(window) + (start - 1)).cast("bigint"))
     keys = [F.col(c).asc_nulls_first() for c in by] + ordering
     ranged = (
         df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys)
@@ -76,12 +70,11 @@ def with_batch_id(df: DataFrame, order: Sequence[str | Column], size: int = 100)
 
 
 def rank_by_score(
-    df: DataFrame, score: str = "score", item: str = "item", by: Sequence[str] = (), name: str = "rank",
-    small_bytes: int = SMALL_BYTES,
+    df: DataFrame, score: str = "score", item: str = "item", by: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
     """Positions 1..n from the best score down, ties in item order."""
     order = [F.col(score).desc_nulls_last(), F.col(item).asc()]
-    return with_position(df, order, by, name, start=1, small_bytes=small_bytes)
+    return with_position(df, order, by, name, start=1)
 
 
 def order_by_score(df: DataFrame, score: str = "score", item: str = "item_id") -> DataFrame:
@@ -89,15 +82,19 @@ def order_by_score(df: DataFrame, score: str = "score", item: str = "item_id") -
 
 
 def _first_per_key(df: DataFrame, n: int, by: Sequence[str], order: list[Column], name: str) -> DataFrame:
-    """Rows 1..n of each key.
+    """Rows 1..n of each key, found in two steps.
 
-    For a small ``n`` the planner cuts every key to ``n`` rows in each map task
-    before the exchange (window group limit), which also settles large keys.
+    A key is dealt into ``SALTS`` parts by the values that order it, and each
+    part is cut to its first ``n`` rows, so no task ranks more than that many
+    times ``SALTS`` rows of one key. The planner cuts the parts to ``n`` rows
+    in each map task before the exchange as well.
     """
-    if n > GROUP_LIMIT:
-        return with_position(df, order, by, name, start=1).filter(F.col(name) <= n)
+    dealt = [F.col(c) for c, kind in df.dtypes if "map<" not in kind]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*dealt), F.lit(SALTS)))
+    part = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))
+    some = salted.withColumn("_part", part).filter(F.col("_part") <= n).drop("_part", "_salt")
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn(name, place).filter(F.col(name) <= n).withColumn(name, F.col(name).cast("bigint"))
+    return some.withColumn(name, place).filter(F.col(name) <= n).withColumn(name, F.col(name).cast("bigint"))
 
 
 def top_board(

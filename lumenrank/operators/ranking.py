@@ -23,7 +23,7 @@ from lumenrank.session import materialise
 ELO_K = fn.ELO_K
 ELO_START, ELO_START_SHOWN = 0.0, 2.5
 BOUNDED_START, BOUNDED_STEP, BOUNDED_MIN, BOUNDED_MAX = 30, 1, 0, 50  # tenths
-MAX_COMPARISONS = 100
+MAX_COMPARISONS = 100  # planned length of a session where one is asked for
 
 
 def unique_duels(duels: DataFrame) -> DataFrame:
@@ -102,22 +102,20 @@ def elo_ratings(
     """
     d = unique_duels(duels)
     seeds = initial.select("session_id", "item", F.col("raw_score").cast("double")) if initial is not None else None
-    span = _span(duels)
-    if span.lo is None:
+    sizes = materialise(d.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")), "elo-sizes")
+    longest = sizes.agg(F.max("_n")).first()[0]
+    if longest is None:
         return seeds if seeds is not None else d.selectExpr(
             "session_id", "winner as item", "cast(0 as double) as raw_score"
         )
-    blocks = (span.hi - span.lo) // block + 1
-    if blocks == 1:
+    if longest <= block:
         return _fold_block(d, seeds, k)
-    sizes = materialise(
-        duels.groupBy("session_id").agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi")), "elo-spans"
-    )
-    fits = F.col("_hi") - F.col("_lo") < block
-    once, long = sizes.filter(fits).select("session_id"), sizes.filter(~fits)
+    blocks = (longest - 1) // block + 1
+    once, long = (sizes.filter(c).select("session_id") for c in (F.col("_n") <= block, F.col("_n") > block))
     done = _fold_block(d.join(once, "session_id", "left_semi"), _of(seeds, once), k)
-    blocked = d.join(long, "session_id").withColumn("_block", F.floor((F.col("seq") - F.col("_lo")) / block))
-    blocked = materialise(blocked.drop("_lo", "_hi"), "elo-duels", ["_block"])
+    placed = with_position(d.join(long, "session_id", "left_semi"), ["seq"], ["session_id"], "_pos")
+    blocked = placed.withColumn("_block", F.floor(F.col("_pos") / block))
+    blocked = materialise(blocked.drop("_pos"), "elo-duels", ["_block"])
     ratings = _of(seeds, long.select("session_id"))
     for i in range(blocks):
         part = blocked.filter(F.col("_block") == i)
@@ -323,11 +321,15 @@ def duel_history(duels: DataFrame, initial: DataFrame | None = None, fanout: int
 
 
 def process_votes(
-    duels: DataFrame, items: DataFrame, method: str = "elo", max_comparisons: int = MAX_COMPARISONS
+    duels: DataFrame, items: DataFrame, method: str = "elo", max_comparisons: int | None = None
 ) -> DataFrame:
-    """Ratings of every listed item of a session after its votes."""
+    """Ratings of every listed item of a session after its votes.
+
+    All recorded votes count; ``max_comparisons`` cuts Elo sessions to a
+    planned length where that is wanted.
+    """
     if method == "elo":
-        rated = elo_ratings(limit_duels(duels, max_comparisons))
+        rated = elo_ratings(duels if max_comparisons is None else limit_duels(duels, max_comparisons))
     else:
         rated = bounded_ratings(duels).select("session_id", "item", "raw_score")
     start = ELO_START if method == "elo" else BOUNDED_START / 10
@@ -339,10 +341,11 @@ def process_votes(
 
 
 def session_status(
-    duels: DataFrame, ratings: DataFrame, method: str = "elo", max_comparisons: int = MAX_COMPARISONS
+    duels: DataFrame, ratings: DataFrame, method: str = "elo", max_comparisons: int | None = None
 ) -> DataFrame:
     """Duel count, items in play and the completion flag of each session."""
-    d = unique_duels(limit_duels(duels, max_comparisons) if method == "elo" else duels)
+    limited = method == "elo" and max_comparisons is not None
+    d = unique_duels(limit_duels(duels, max_comparisons) if limited else duels)
     counted = d.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_duels"))
     active = eligible_items(ratings, method).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_active"))
     joined = ratings.select("session_id").distinct().join(counted, "session_id", "left").join(
@@ -350,7 +353,7 @@ def session_status(
     )
     filled = joined.fillna(0, ["n_duels", "n_active"])
     few = F.col("n_active") < 2
-    complete = (F.col("n_duels") >= max_comparisons) | few if method == "elo" else few
+    complete = (F.col("n_duels") >= max_comparisons) | few if limited else few
     return filled.withColumn("complete", complete)
 
 

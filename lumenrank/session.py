@@ -92,22 +92,5 @@ def release_scratch(spark: SparkSession) -> None:
     _delete(spark, scratch_root(spark))
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Spread a bare scan over all cores when its files give too few splits.
-
-    For row-wise work that is heavy compared with the bytes it reads. A table
-    of many files or row groups is returned unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
-        return scan
-    return scan.repartition(cores, *keys)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size estimate of a table; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

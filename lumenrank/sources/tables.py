@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +15,35 @@ from lumenrank.operators.positions import with_position
 from lumenrank.tiers import as_tier
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """First line -> files that begin with it. A folder has few kinds of headers, however many files."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("i"),
+    )
+    first = lines.filter("at = 0").groupBy("f").agg(F.min_by("value", "i").alias("header"))
+    found: dict[str, list[str]] = {}
+    for r in first.collect():
+        found.setdefault(r["header"], []).append(unquote(r["f"]))
+    return found
+
+
 def _csv(spark: SparkSession, path: str, ddl: str, required: list[str]) -> DataFrame:
-    """Columns are matched by header name, so files may order or omit them."""
-    header = spark.read.option("header", True).csv(path)  # header only, all strings
-    schemas.require_columns(header, required)
+    """Columns are matched by header name in each file, so files may order or omit them."""
     wanted = schemas.struct(ddl)
-    return header.select(
-        *[
-            (F.col(f.name).try_cast(f.dataType) if f.name in header.columns else F.lit(None).cast(f.dataType))
-            .alias(f.name)
-            for f in wanted.fields
-        ]
-    )
+    found = _headers(spark, path)
+    sources = [path] if len(found) <= 1 else sorted(found.values())
+    parts = []
+    for source in sources:
+        table = spark.read.option("header", True).csv(source)  # header only, all strings
+        schemas.require_columns(table, required)
+        parts.append(table.select(
+            *[
+                (F.col(f.name).try_cast(f.dataType) if f.name in table.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                for f in wanted.fields
+            ]
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -74,20 +94,20 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vote_state(spark: SparkSession, path: str) -> DataFrame:
-    """Saved ratings of one or many JSON state files as long rows."""
+    """Saved ratings of one or many JSON state files as long rows; both maps are matched in one pass."""
     state = spark.read.option("multiLine", True).schema(schemas.VOTE_STATE_JSON).json(path)
-    return state.select(
-        "method",
-        "comparisons_count",
-        F.explode("raw_scores").alias("item", "raw_score"),
-        F.col("scores").alias("_scores"),
+    rated = F.transform_values("raw_scores", lambda _, v: F.struct(v.alias("v")))
+    shown = F.coalesce("scores", F.create_map().cast("map<string,double>"))
+    pairs = F.map_zip_with(rated, shown, lambda _, r, s: F.struct(r.alias("raw"), s.alias("score")))
+    return state.select("method", "comparisons_count", F.explode(pairs).alias("item", "_s")).filter(
+        F.col("_s.raw").isNotNull()
     ).select(
         "method",
         "comparisons_count",
         "item",
         fn.basename(F.col("item")).alias("name"),
-        "raw_score",
-        F.try_element_at("_scores", F.col("item")).alias("score"),
+        F.col("_s.raw.v").alias("raw_score"),
+        F.col("_s.score").alias("score"),
     )
 
 

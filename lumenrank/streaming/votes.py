@@ -24,16 +24,23 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _name(item: object) -> str | None:
+    """An item, or None for a missing one of any kind."""
+    return item if isinstance(item, str) else None
+
+
 class _Ratings(StatefulProcessor):
     """Applies the votes of a session in ``seq`` order.
 
-    A vote at or below the last applied number is a repeat and ignored. A vote
-    beyond the next number waits in state until the gap is filled, or until
-    ``gap_timeout_ms`` has passed since it was held.
+    The first vote has the number ``start``. A vote at or below the last
+    applied number is a repeat and ignored. A vote beyond the next number waits
+    in state until the gap is filled, or until ``gap_timeout_ms`` has passed
+    since it was held. A vote without two different items changes no rating
+    but counts as a number, so the votes after it don't wait.
     """
 
-    def __init__(self, method: str, gap_timeout_ms: int | None):
-        self.method, self.gap_timeout_ms = method, gap_timeout_ms
+    def __init__(self, method: str, gap_timeout_ms: int | None, start: int = 1):
+        self.method, self.gap_timeout_ms, self.start = method, gap_timeout_ms, start
         # parsed here, on the driver: workers have no session to parse with
         self.seq, self.item, self.score = struct("seq bigint"), struct("item string"), struct("score double")
         self.vote = struct("winner string, loser string")
@@ -45,10 +52,11 @@ class _Ratings(StatefulProcessor):
         self.held = handle.getMapState("held", self.seq, self.vote)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else 0
+        last = self._applied()
         cache, holding = {}, False
         for pdf in rows:
-            ordered = pdf.sort_values("seq")
+            empty = pdf["winner"].isna() | pdf["loser"].isna() | (pdf["winner"] == pdf["loser"])
+            ordered = pdf.assign(_empty=empty).sort_values(["seq", "_empty", "winner", "loser"])
             for seq, winner, loser in zip(ordered["seq"].tolist(), ordered["winner"], ordered["loser"]):
                 if seq <= last:
                     continue
@@ -56,7 +64,7 @@ class _Ratings(StatefulProcessor):
                     self._duel(cache, winner, loser)
                     last = seq
                 elif not self.held.containsKey((seq,)):
-                    self.held.updateValue((seq,), (winner, loser))
+                    self.held.updateValue((seq,), (_name(winner), _name(loser)))
                     holding = True
             last = self._drain(cache, last)
         if holding and self.gap_timeout_ms is not None and self.held.exists():
@@ -65,7 +73,7 @@ class _Ratings(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Give up on the missing votes and apply everything held."""
-        last = self.last.get()[0] if self.last.exists() else 0
+        last = self._applied()
         cache = {}
         waiting = sorted(k[0] for k in self.held.keys())
         for seq in waiting:
@@ -79,6 +87,9 @@ class _Ratings(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _applied(self) -> int:
+        return self.last.get()[0] if self.last.exists() else self.start - 1
+
     def _drain(self, cache: dict, last: int) -> int:
         while self.held.containsKey((last + 1,)):
             winner, loser = self.held.getValue((last + 1,))
@@ -94,6 +105,9 @@ class _Ratings(StatefulProcessor):
         return cache[item]
 
     def _duel(self, cache: dict, winner: str, loser: str) -> None:
+        winner, loser = _name(winner), _name(loser)
+        if winner is None or loser is None or winner == loser:
+            return
         a, b = self._score(cache, winner), self._score(cache, loser)
         if self.method == "elo":
             gain = ELO_K * (1.0 - 1.0 / (1.0 + 10.0 ** ((b - a) / 400.0)))
@@ -103,26 +117,25 @@ class _Ratings(StatefulProcessor):
             cache[loser] = max(BOUNDED_MIN, round(b * 10) - BOUNDED_STEP) / 10
 
     def _commit(self, key, cache: dict, last: int) -> Iterator[pd.DataFrame]:
+        if last != self._applied():
+            self.last.update((last,))
         if not cache:
             return
         for item, score in cache.items():
             self.scores.updateValue((item,), (score,))
-        self.last.update((last,))
         yield pd.DataFrame(
             {"session_id": key[0], "item": list(cache), "raw_score": list(cache.values()), "last_seq": last}
         )
 
 
 def stream_ratings(
-    votes: DataFrame, method: str = "elo", gap_timeout_ms: int | None = None
+    votes: DataFrame, method: str = "elo", gap_timeout_ms: int | None = None, start: int = 1
 ) -> DataFrame:
-    """Changed ratings per micro-batch of a vote stream (update mode)."""
+    """Changed ratings per micro-batch of a vote stream (update mode); a session's first vote has the number ``start``."""
     key_type = votes.schema["session_id"].dataType.simpleString()
     out: StructType = struct(f"session_id {key_type}, {OUTPUT}")
-    return votes.select("session_id", "seq", "winner", "loser").filter(
-        F.col("winner") != F.col("loser")
-    ).groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Ratings(method, gap_timeout_ms),
+    return votes.select("session_id", "seq", "winner", "loser").groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_Ratings(method, gap_timeout_ms, start),
         outputStructType=out,
         outputMode="Update",
         timeMode="None" if gap_timeout_ms is None else "ProcessingTime",

@@ -167,7 +167,7 @@ def test_unknown_output_format(spark, tmp_path):
 
 def test_position_of_a_key_with_most_rows(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(1)).alias("k"), "id")
-    placed = positions.with_position(df, [F.col("id").desc()], ["k"], start=1, small_bytes=0)
+    placed = positions.with_position(df, [F.col("id").desc()], ["k"], start=1)
     hot = sorted((r.pos, r.id) for r in placed.filter("k = 1").collect())
     assert [p for p, _ in hot] == list(range(1, len(hot) + 1))
     assert [i for _, i in hot] == sorted((i for _, i in hot), reverse=True)
@@ -175,16 +175,30 @@ def test_position_of_a_key_with_most_rows(spark):
 
 def test_position_spreads_a_hot_key_over_tasks(spark):
     df = spark.range(20_000).select(F.lit(1).alias("k"), "id")
-    placed = positions.with_position(df, ["id"], ["k"], small_bytes=0)
+    placed = positions.with_position(df, ["id"], ["k"])
     sizes = placed.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 1
 
 
 def test_position_with_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, o int")
-    for small in (0, 1 << 40):
-        placed = positions.with_position(df, ["o"], ["k"], small_bytes=small).collect()
-        assert {(r.k, r.o): r.pos for r in placed} == {(None, 1): 0, (None, 2): 1, ("a", 1): 0}
+    placed = positions.with_position(df, ["o"], ["k"]).collect()
+    assert {(r.k, r.o): r.pos for r in placed} == {(None, 1): 0, (None, 2): 1, ("a", 1): 0}
+
+
+def test_position_of_an_exploded_table_is_spread(spark):
+    """The planner's estimate of a table that grows on the way says nothing about its size."""
+    grown = spark.range(10).select("id", F.explode(F.sequence(F.lit(1), F.lit(3000))).alias("n"))
+    placed = positions.with_position(grown, ["id", "n"])
+    assert placed.groupBy(F.spark_partition_id()).count().count() > 1
+    assert placed.filter("pos != id * 3000 + n - 1").isEmpty()
+
+
+def test_top_board_of_a_hot_key_beyond_any_limit(spark):
+    df = spark.range(5000).select(F.lit("k").alias("key"), F.col("id").alias("item"), (F.col("id") % 100).cast("double").alias("score"))
+    board = positions.top_board(df, 1500, by=["key"]).orderBy("rank").collect()
+    want = sorted(range(5000), key=lambda i: (-(i % 100), i))[:1500]
+    assert [r.item for r in board] == want and board[0].n_others == 3500
 
 
 def test_top_board_counts_the_rest(spark):

@@ -189,3 +189,21 @@ def test_prediction_csv_with_float_tiers(spark, tmp_path):
     with pytest.raises(ValueError, match="quality_label"):
         (tmp_path / "q.csv").write_text("image_path\n/a.jpg\n")
         sources.read_predictions(spark, str(tmp_path / "q.csv"))
+
+
+def test_annotation_files_with_unlike_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,image_path,label,class_name\n2024-01-01T00:00:00,/a.jpg,3,x\n")
+    (tmp_path / "b c.csv").write_text("label,image_path,class_name\n4,/b.jpg,y\n5,/c.jpg,z\n")
+    got = {(r.image_path, r.label, r.class_name) for r in sources.read_annotations(spark, str(tmp_path)).collect()}
+    assert got == {("/a.jpg", 3, "x"), ("/b.jpg", 4, "y"), ("/c.jpg", 5, "z")}
+    (tmp_path / "d.csv").write_text("image_path\n/d.jpg\n")
+    with pytest.raises(ValueError, match="label"):
+        sources.read_annotations(spark, str(tmp_path))
+
+
+def test_vote_state_with_partial_scores(spark, tmp_path):
+    state = {"method": "elo", "raw_scores": {"x": 1.5, "y": None}, "scores": {"x": 5.0, "z": 1.0}, "comparisons_count": 0}
+    (tmp_path / "s.json").write_text(json.dumps(state))
+    (tmp_path / "t.json").write_text(json.dumps({**state, "raw_scores": {"w": 2.0}, "scores": None}))
+    rows = sources.read_vote_state(spark, str(tmp_path)).collect()
+    assert {(r.item, r.raw_score, r.score) for r in rows} == {("x", 1.5, 5.0), ("y", None, None), ("w", 2.0, None)}

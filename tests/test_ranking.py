@@ -148,3 +148,21 @@ def test_pairs_are_different_items_and_reproducible(spark):
     first = draw()
     assert first == draw() and len(first) == 60
     assert all(a != b for _, _, a, b in first)
+
+
+def test_long_sessions_are_not_cut_by_default(spark):
+    duels = spark.createDataFrame([(1, q, "a" if q % 3 else "b", "b" if q % 3 else "a") for q in range(1, 151)], DUELS)
+    items = spark.createDataFrame([(1, "a"), (1, "b")], "session_id bigint, item string")
+    rated = {r.item: r.raw_score for r in ranking.process_votes(duels, items, "elo").collect()}
+    assert rated == pytest.approx({r.item: r.raw_score for r in ranking.elo_ratings(duels).collect()})
+    assert ranking.session_status(duels, ranking.process_votes(duels, items, "elo"), "elo").first().n_duels == 150
+
+
+def test_blocks_follow_votes_and_not_their_numbers(spark, monkeypatch):
+    """Sparse numbers, as of time stamps, make no empty rounds."""
+    rows = [(1, 1_000_000 * q * q, "abc"[q % 3], "abc"[(q + 1) % 3]) for q in range(1, 26)]
+    duels, folds, fold = spark.createDataFrame(rows, DUELS), [], ranking._fold_block
+    monkeypatch.setattr(ranking, "_fold_block", lambda *a: folds.append(1) or fold(*a))
+    got = {r.item: r.raw_score for r in ranking.elo_ratings(duels, block=10).collect()}
+    assert len(folds) == 4  # short sessions, and three blocks
+    assert got == pytest.approx({r.item: r.raw_score for r in ranking.elo_ratings(duels).collect()})

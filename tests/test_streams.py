@@ -10,9 +10,9 @@ from test_ranking import DUELS, loop_bounded, loop_elo, make
 class Votes:
     """A folder of vote files and a query that reads what is new."""
 
-    def __init__(self, spark, root, method, gap_timeout_ms=None):
+    def __init__(self, spark, root, method, gap_timeout_ms=None, start=1):
         streaming.use_rocksdb(spark)
-        self.spark, self.root, self.method, self.gap = spark, root, method, gap_timeout_ms
+        self.spark, self.root, self.method, self.gap, self.start = spark, root, method, gap_timeout_ms, start
         (root / "in").mkdir()
 
     def add(self, rows):
@@ -26,7 +26,7 @@ class Votes:
             batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
         return (
-            streaming.stream_ratings(votes, self.method, self.gap).writeStream.outputMode("update").foreachBatch(save)
+            streaming.stream_ratings(votes, self.method, self.gap, self.start).writeStream.outputMode("update").foreachBatch(save)
             .option("checkpointLocation", str(self.root / "checkpoint"))
         )
 
@@ -75,3 +75,19 @@ def test_stream_equals_batch(spark, tmp_path):
     votes.add(rows)
     batch = ranking.elo_ratings(spark.createDataFrame(rows, DUELS)).collect()
     assert votes.run() == {(r.session_id, r.item): r.raw_score for r in batch}
+
+
+@pytest.mark.parametrize("method", ["elo", "condorcet"])
+@pytest.mark.parametrize("start", [0, 1, 40])
+def test_votes_without_two_items_and_other_starts(spark, tmp_path, method, start):
+    """A self-vote and a missing side take their number and nothing else, as in the batch operators."""
+    pairs = [("a", "b"), ("a", "a"), ("b", "c"), (None, "c"), ("c", "a"), ("b", None), ("b", "a"), ("c", "b")]
+    rows = [(1, start + i, w, l) for i, (w, l) in enumerate(pairs)]
+    votes = Votes(spark, tmp_path, method, start=start)
+    votes.add(rows[:4] + rows[5:6])  # one gap
+    votes.run()
+    votes.add(rows[4:])
+    got = votes.run()
+    duels = spark.createDataFrame(rows, DUELS)
+    rated = ranking.elo_ratings(duels) if method == "elo" else ranking.bounded_ratings(duels)
+    assert got == pytest.approx({(r.session_id, r.item): r.raw_score for r in rated.collect()})
