@@ -9,7 +9,8 @@ see ``containment`` for the search.
 Defined results: null, empty and blank texts hold no notice. Rows with the
 same id are searched by their own texts and reported together; documents
 without an id are searched like any other; an empty table gives an empty
-result. A longer notice that contains a shorter one is reported beside it.
+result. A longer notice that contains a shorter one is reported beside it, and
+so are notices that differ in a word or two; ``n_found`` tells the fullest.
 """
 
 from __future__ import annotations
