@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lumenrank import functions as fn
 from lumenrank.operators.aggregates import prediction_summary
 from lumenrank.operators.filters import spread_probs
 from lumenrank.schemas import require_columns
@@ -31,8 +32,13 @@ def write_predictions(predictions: DataFrame, path: str, fmt: str = "parquet", m
         flat.write.mode(mode).option("header", True).csv(path)
     elif fmt == "json":
         rows = predictions.select(*PREDICTION_COLUMNS, "all_probabilities")
-        rows.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/results")
-        manifest(predictions).write.mode(mode).json(f"{path}/manifest")
+        seen = Observation()  # counted while the rows are written; a model behind them runs once
+        counted = rows.observe(seen, F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"))
+        counted.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/results")
+        totals = rows.sparkSession.range(1, numPartitions=1).select(
+            F.lit(seen.get["ok"]).alias("n_success"), F.lit(seen.get["failed"]).alias("n_failed")
+        )
+        _manifest_row(totals).write.mode(mode).json(f"{path}/manifest")
     elif fmt == "parquet":
         predictions.write.mode(mode).parquet(path)
     else:
@@ -41,10 +47,14 @@ def write_predictions(predictions: DataFrame, path: str, fmt: str = "parquet", m
 
 def manifest(predictions: DataFrame) -> DataFrame:
     """One row of totals that accompanies the JSON rows."""
-    return prediction_summary(predictions).select(
+    return _manifest_row(prediction_summary(predictions))
+
+
+def _manifest_row(totals: DataFrame) -> DataFrame:
+    return totals.select(
         F.current_timestamp().alias("timestamp"),
-        (F.col("n_success") + F.col("n_failed")).alias("total_images"),
-        F.col("n_success").alias("successful_predictions"),
+        (F.col("n_success") + F.col("n_failed")).cast("bigint").alias("total_images"),
+        F.col("n_success").cast("bigint").alias("successful_predictions"),
     )
 
 
@@ -67,15 +77,15 @@ def append_annotations(labels: DataFrame, path: str) -> None:
 
 
 def write_rankings(rankings: DataFrame, path: str, by: list[str] | None = None) -> None:
-    extra = by or []
-    rows = rankings.select(*extra, *RANKING_COLUMNS)
-    writer = rows.write.mode("overwrite").option("header", True)
-    (writer.partitionBy(*extra) if extra else writer).csv(path)
+    """Ranking rows; the keys in ``by`` are further columns. ``write_by_group`` makes folders of groups."""
+    rankings.select(*RANKING_COLUMNS, *(by or [])).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_duel_history(history: DataFrame, path: str) -> None:
+    """Duel history with the base names of the items."""
+    named = {c: fn.basename(F.col(c)) for c in ("image1", "image2", "winner")}
     columns = [c for c in HISTORY_COLUMNS if c in history.columns]
-    history.select("session_id", *columns).write.mode("overwrite").option("header", True).csv(path)
+    history.withColumns(named).select("session_id", *columns).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_by_group(records: DataFrame, path: str, group_col: str = "dest_dir", fmt: str = "parquet") -> None:

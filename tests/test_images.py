@@ -207,3 +207,20 @@ def test_vote_state_with_partial_scores(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({**state, "raw_scores": {"w": 2.0}, "scores": None}))
     rows = sources.read_vote_state(spark, str(tmp_path)).collect()
     assert {(r.item, r.raw_score, r.score) for r in rows} == {("x", 1.5, 5.0), ("y", None, None), ("w", 2.0, None)}
+
+
+def test_manifest_runs_the_model_once(spark, tmp_path):
+    inputs = spark.sparkContext.accumulator(0)
+
+    def make_predict():
+        def predict(values):
+            inputs.add(len(values))
+            return [[1.0, 2.0, 0.5, 0.1, 0.2, 0.3] for _ in values]
+
+        return predict
+
+    items = spark.range(30).select(F.col("id").cast("string").alias("item_id"), F.col("id").alias("x"))
+    scored = scoring.class_predictions(scoring.score_batches(items, make_predict, "x")).withColumnRenamed("item_id", "image_path")
+    sources.write_predictions(scored, str(tmp_path), "json")
+    row = spark.read.json(str(tmp_path / "manifest")).first()
+    assert (row.total_images, row.successful_predictions, inputs.value) == (30, 30, 30)
