@@ -15,7 +15,8 @@ others are removed from their documents. Shorter lines are never touched.
 3. Dense groups don't become all their pairs: first every line is compared to
    one line of its key, then only keys that still hold several classes are
    joined, rows outside the key's largest class against the others.
-4. Pairs are verified by the edit distance in a diagonal band of 2 tau + 1
+4. Pairs whose letter counts differ in more parities than ``tau`` edits can
+   change are passed over. The others are verified by the edit distance in a diagonal band of 2 tau + 1
    cells, one bit each, moved along the line with a few word operations per
    character.
 
@@ -42,6 +43,7 @@ from lumenrank.session import materialise
 
 MIN_CHARS = 50
 TAU = 2
+PARITY_LETTERS = "abcdefghijklmnopqrstuvwxyz ,.0"
 
 
 def line_rows(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
@@ -83,8 +85,24 @@ def segment_keys(line: Column, tau: int) -> Column:
 
 
 def keyed_lines(lines: DataFrame, tau: int) -> DataFrame:
-    """``key, id, own`` of every line and key."""
-    return lines.select("id", F.explode(segment_keys(F.col("line"), tau)).alias("k")).select("k.key", "id", "k.own")
+    """``key, id, own`` of every line and key, written once as two numbers each."""
+    keys = lines.select("id", F.explode(segment_keys(F.col("line"), tau)).alias("k"))
+    packed = materialise(keys.select("k.key", F.shiftleft("id", 1).bitwiseOR(F.col("k.own")).alias("v")), "line-keys")
+    return packed.select("key", F.shiftrightunsigned("v", 1).alias("id"), F.col("v").bitwiseAND(F.lit(1)).alias("own"))
+
+
+def letter_parity(line: Column) -> Column:
+    """Which of 30 frequent characters occur an odd number of times; one edit changes two of these bits at most."""
+    bits = [
+        (F.length(line) - F.length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(1)).cast("bigint") * (1 << i)
+        for i, c in enumerate(PARITY_LETTERS)
+    ]
+    return reduce(lambda a, b: a + b, bits)
+
+
+def _may_match(a: Column, b: Column, tau: int) -> Column:
+    """False only for lines more than ``tau`` edits apart."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * tau
 
 
 def edit_distance(a: Column, b: Column, tau: int) -> Column:
@@ -159,25 +177,29 @@ def alike_lines(docs: DataFrame, id_col: str, text: str, tau: int, min_chars: in
     ids = rows.select("id").distinct()
     id_table = bit_table(ids, "id", FILTER_BITS)
     candidates = lines.select("id", "line").withColumn("_table", id_table).filter(in_table(F.col("_table"), F.col("id"), FILTER_BITS))
-    texts = materialise(candidates.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi"), "texts")
+    once = candidates.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi")
+    texts = materialise(once.withColumn("parity", letter_parity(F.col("line"))), "texts")
+    marked = materialise(rows.join(texts.select("id", "parity"), "id"), "marked-rows")
 
     # every line against one line of each of its keys
-    heads = rows.filter("own = 1").groupBy("key").agg(F.min("id").alias("x"))
-    stars = rows.join(heads, "key").select("x", F.col("id").alias("y")).filter("x != y").distinct()
+    heads = marked.filter("own = 1").groupBy("key").agg(F.min(F.struct("id", "parity")).alias("h"))
+    near = marked.join(heads, "key").filter((F.col("id") != F.col("h.id")) & _may_match(F.col("parity"), F.col("h.parity"), tau))
+    stars = near.select(F.col("h.id").alias("x"), F.col("id").alias("y")).distinct()
     links = _verified(stars, texts, tau).select(F.col("x").alias("a"), F.col("y").alias("b"))
     first = components(links, "line-stars")
 
     # what the stars have missed: keys with several classes left
-    labelled = with_labels(rows, "id", first, "label")
+    labelled = with_labels(marked, "id", first, "label")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi")
     left = materialise(labelled.join(mixed.select("key"), "key", "left_semi"), "mixed-keys")
     sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("_n", "label")).alias("_main"))
     placed = left.join(main, "key").withColumn("_is_main", F.col("label") == F.col("_main"))
-    one = placed.filter(~F.col("_is_main")).select("key", F.col("id").alias("x"), F.col("label").alias("_lx"), F.col("own").alias("_ox"))
-    two = placed.select("key", F.col("id").alias("y"), F.col("label").alias("_ly"), F.col("own").alias("_oy"), "_is_main")
+    one = placed.filter(~F.col("_is_main")).select("key", F.col("id").alias("x"), F.col("label").alias("_lx"), F.col("own").alias("_ox"), F.col("parity").alias("_px"))
+    two = placed.select("key", F.col("id").alias("y"), F.col("label").alias("_ly"), F.col("own").alias("_oy"), F.col("parity").alias("_py"), "_is_main")
     pairs = (
         one.join(two, "key")
+        .filter(_may_match(F.col("_px"), F.col("_py"), tau))
         .filter((F.col("_lx") != F.col("_ly")) & (F.col("_is_main") | (F.col("x") < F.col("y"))) & (F.col("_ox") + F.col("_oy") > 0))
         .select("x", "y", "_lx", "_ly").distinct()
     )
