@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from lumenrank.llm import lines
 
 
-def distance(a, b):
+def distance(a, b, limit=1 << 30):
+    """Edit distance; beyond the limit some number above it."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > limit:
+            return limit + 1
     return row[-1]
 
 
@@ -52,7 +55,7 @@ def plain_dedup(rows, tau=2, min_chars=50):
 
     for k, a in enumerate(texts):
         for b in texts[:k]:
-            if abs(len(a) - len(b)) <= tau and distance(a, b) <= tau:
+            if abs(len(a) - len(b)) <= tau and distance(a, b, tau) <= tau:
                 parent[root(a)] = root(b)
     groups = {}
     for p in places:
