@@ -3,15 +3,18 @@
 The vocabulary file drops white space and never joins characters across it,
 so a text is the concatenation of its white-space-free pieces. Each worker
 keeps the ids of pieces it has met, in bounded memory, and asks the tokenizer
-for new ones only.
+for new ones only. A new piece that is a word and closing marks is looked up
+in two parts, as the vocabulary never joins letters and marks either, and case
+makes no difference to words of ASCII letters.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from itertools import chain
 
-CACHE_PIECES = 400_000  # pieces remembered per worker
+CACHE_PIECES = 500_000  # pieces remembered per worker, and words
 CACHE_CHARS = 48  # longer pieces are rarely met again
 
 _CACHES: dict[str, PieceIds] = {}
@@ -23,6 +26,37 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: visible Latin-1 bytes themselves, the others after them."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def plain_word(piece: bytes) -> str | None:
+    """A piece that is one run of letters, as the merges expect it: composed, in lower case, bytes as letters."""
+    if piece.isalpha():  # ASCII letters only
+        return piece.lower().decode()
+    if piece.isascii():
+        return None
+    word = unicodedata.normalize("NFC", piece.decode())
+    if "\u03a3" in word:  # its lower case depends on the place in str.lower()
+        return None
+    word = word.lower()
+    return word.encode().decode("latin-1").translate(_BYTE_LETTERS) if word.isalpha() else None
+
+
+def parted(piece: bytes) -> tuple[bytes, bytes]:
+    """A word and the marks that close it, with the ids of the piece when put together."""
+    word = piece.rstrip(b".,;:!?")
+    if word and (word.isalpha() or word.decode()[-1].lower().isalpha()):
+        return (word.lower() if word.isascii() else word), piece[len(word) :]
+    return piece, b""
+
+
 class PieceIds:
     """Ids of texts as little-endian unsigned 32-bit numbers."""
 
@@ -32,22 +66,45 @@ class PieceIds:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
+        self._words: dict[bytes, bytes] = {}
 
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces that are not remembered; short ones are from now on."""
+    def ask(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that aren't remembered: words by the vocabulary's merges alone, all else by the whole tokenizer."""
         import numpy as np
 
-        unknown = list(pieces)
-        found = {}
-        for at in range(0, len(unknown), 4096):
-            some = unknown[at : at + 4096]
+        merge, found, others = self._tokenizer.model.tokenize, {}, []
+        words, ids = [], []
+        for piece in pieces:
+            word = plain_word(piece)
+            if word is None:
+                others.append(piece)
+            else:
+                words.append(piece)
+                ids.append([t.id for t in merge(word)])
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
             encoded = self._tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-            end = 0
-            for piece, own in zip(some, ids):
-                start, end = end, end + 4 * len(own)
-                found[piece] = flat[start:end]
+            words += some
+            ids += [e.ids for e in encoded]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        end = 0
+        for piece, own in zip(words, ids):
+            start, end = end, end + 4 * len(own)
+            found[piece] = flat[start:end]
+        return found
+
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that are not remembered; short ones are from now on."""
+        parts = {p: parted(p) for p in pieces}
+        wanted = set(chain.from_iterable(parts.values()))
+        known = self._words
+        fresh = self.ask(wanted.difference(known))
+        if len(known) + len(fresh) > CACHE_PIECES:
+            known = {w: known[w] for w in wanted if w in known}
+            self._words = {}
+        self._words.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
+        ids = {w: fresh[w] if w in fresh else known[w] for w in wanted}
+        found = {p: ids[word] + ids[marks] for p, (word, marks) in parts.items()}
         if len(self._known) + len(found) > CACHE_PIECES:
             self._known = {}
         self._known.update((k, v) for k, v in found.items() if len(k) <= CACHE_CHARS)
