@@ -1,11 +1,13 @@
-"""Search for short texts inside long ones: size-partitioned MinHash over windows, verified by exact containment.
+"""Search for short texts inside long ones: size-partitioned MinHash over windows, and whole documents, by exact containment.
 
 The items looked for (test items, licence notices) are partitioned by their
 number of word shingles into classes ``2^c .. 2^(c+1) - 1``. A document is
 seen through overlapping windows of its shingle positions, for each class
 windows of ``2^(c+2)`` shingles at steps of half that, so an item's passage
 lies in one window whole. An item is found where a window holds the
-threshold's share of its distinct shingles.
+threshold's share of its distinct shingles, or where the document as a whole
+does: parts of an item may stand far apart, and a passage with inner repeats
+is longer than its distinct shingles tell.
 
 Of a document only the shingles that occur in some item matter to any
 containment; a filter of fixed size (three probes into one bit table, no
@@ -19,6 +21,11 @@ class of window sizes the number of one-row bands is chosen so that such a
 pair meets in a band with probability ``1 - MISS`` or more. What meets is
 verified by intersecting the shingle sets.
 
+Whole documents are searched without a miss: a document with ``m`` of an
+item's ``n`` shingles or more has one of any ``n - m + 1`` of them. Of every
+item those in the fewest documents are looked up, and what meets is verified
+in the same way.
+
 All is built-in functions. Shingles are compared by 64-bit hashes.
 """
 
@@ -125,24 +132,8 @@ def _min_hashes(hs: Column, bands: Column) -> Column:
     return F.transform(indexes(bands), lambda j: F.array_min(F.transform(hs, lambda h: F.xxhash64(h, j))))
 
 
-def find_inside(
-    docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS,
-) -> DataFrame:
-    """``doc_id, t, item_id, n_shingles, n_found``: items inside documents, with the best window's count.
-
-    Rows of one id with unlike texts give rows with unlike ``t``. Null,
-    empty and blank texts hold nothing and are found nowhere; an item of fewer
-    than ``k`` words is found only in a document that has no other words.
-    """
-    spark = docs.sparkSession
-    items = materialise(items_of(texts, item_id, item_text, k), "items")
-    classes = sorted(r["c"] for r in items.select("c").distinct().collect())  # log2 of the longest item at most
-    if not classes:
-        kinds = docs.schema[id_col].dataType.simpleString(), texts.schema[item_id].dataType.simpleString()
-        return spark.createDataFrame([], "doc_id %s, t long, item_id %s, n_shingles long, n_found long" % kinds)
-    table = bit_table(items.select(F.explode("hs").alias("h")))
-    hits = shared_shingles(docs, table, id_col, text, k)
+def _in_windows(hits: DataFrame, items: DataFrame, classes: list[int], threshold: float, miss: float) -> DataFrame:
+    """``doc_id, t, item_id, n_shingles, n_found``: items that a window holds, by the bands."""
     held = materialise(windows(hits, classes, threshold), "windows")
     most = [(c, band_count(c, e, threshold, miss)) for c in classes for e in range(c + 3)]
     limit = {c: max(b for d, b in most if d == c) for c in classes}
@@ -160,5 +151,53 @@ def find_inside(
     wanted = items.select("item_id", F.col("hs").alias("_item"), F.col("n").cast("bigint").alias("n_shingles"))
     n_found = F.size(F.array_intersect("hs", "_item")).cast("bigint")
     checked = met.join(wanted, "item_id").select("doc_id", "t", "item_id", "n_shingles", n_found.alias("n_found"))
-    enough = checked.filter(F.col("n_found") >= F.col("n_shingles") * threshold)
-    return enough.groupBy("doc_id", "t", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found"))
+    return checked.filter(F.col("n_found") >= F.col("n_shingles") * threshold)
+
+
+def _in_documents(hits: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """``doc_id, t, item_id, n_shingles, n_found``: items that a whole document holds; none is missed."""
+    sets = hits.select("doc_id", "t", F.array_distinct(F.transform("hits", lambda x: x.h)).alias("hs")).distinct()
+    seen = sets.select("doc_id", "t", F.explode("hs").alias("h"))
+    known = items.select("item_id", "hs", "n", F.xxhash64("hs").alias("v"))
+    unlike = known.dropDuplicates(["v"])
+    spread = seen.groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
+    shared = unlike.select("v", "n", F.explode("hs").alias("h")).join(spread, "h", "left")
+    place = F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "h")
+    spare = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
+    rarest = shared.groupBy("v", "n").agg(F.sort_array(F.collect_list(place)).alias("_hs"))
+    asked = rarest.select("v", F.explode(F.slice("_hs", F.lit(1), F.greatest(spare, F.lit(1)))).alias("x"))
+    met = seen.join(asked.filter("x.docs > 0").select("v", "x.h"), "h").select("doc_id", "t", "v").distinct()
+    wanted = met.join(unlike.select("v", F.col("hs").alias("_item"), F.col("n").cast("bigint").alias("n_shingles")), "v")
+    both = wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("t", "_t").join(
+        sets, (F.col("_t") == F.col("t")) & F.col("_d").eqNullSafe(F.col("doc_id"))
+    )
+    n_found = F.size(F.array_intersect("hs", "_item")).cast("bigint")
+    counted = both.select("doc_id", "t", "v", "n_shingles", n_found.alias("n_found"))
+    enough = counted.filter(F.col("n_found") >= F.col("n_shingles") * threshold)
+    return enough.join(known.select("v", "item_id"), "v").select("doc_id", "t", "item_id", "n_shingles", "n_found")
+
+
+def find_inside(
+    docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
+    item_text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS,
+) -> DataFrame:
+    """``doc_id, t, item_id, n_shingles, n_found``: items inside documents, with the best window's count.
+
+    Where no window holds enough, but the whole document does, the count is the whole document's.
+
+    Rows of one id with unlike texts give rows with unlike ``t``. Null,
+    empty and blank texts hold nothing and are found nowhere; an item of fewer
+    than ``k`` words is found only in a document that has no other words.
+    """
+    spark = docs.sparkSession
+    items = materialise(items_of(texts, item_id, item_text, k), "items")
+    classes = sorted(r["c"] for r in items.select("c").distinct().collect())  # log2 of the longest item at most
+    if not classes:
+        kinds = docs.schema[id_col].dataType.simpleString(), texts.schema[item_id].dataType.simpleString()
+        return spark.createDataFrame([], "doc_id %s, t long, item_id %s, n_shingles long, n_found long" % kinds)
+    table = bit_table(items.select(F.explode("hs").alias("h")))
+    hits = materialise(solid(shared_shingles(docs, table, id_col, text, k), F.size("hits") > 0), "hits")
+    parts = _in_windows(hits, items, classes, threshold, miss).withColumn("whole", F.lit(False))
+    found = parts.union(_in_documents(hits, items, threshold).withColumn("whole", F.lit(True)))
+    best = F.max(F.when(~F.col("whole"), F.col("n_found")))
+    return found.groupBy("doc_id", "t", "item_id", "n_shingles").agg(F.coalesce(best, F.max("n_found")).alias("n_found"))

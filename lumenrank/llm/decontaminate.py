@@ -1,7 +1,7 @@
 """Operator 8, benchmark decontamination by size-partitioned MinHash containment search.
 
-A document leaks a test item when one of its windows holds 80 % of the item's
-distinct five-word shingles or more (lower case, letters and digits only, so
+A document leaks a test item when it holds 80 % of the item's distinct
+five-word shingles or more, in one passage or in parts that stand apart (lower case, letters and digits only, so
 case and punctuation don't hide a leak). See ``containment`` for the search.
 
 Defined results: null, empty and blank texts leak nothing and are leaked
@@ -20,7 +20,7 @@ from lumenrank.llm.registry import benchmark, documents, query
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, item_id, n_shingles, n_found``: every leak, with the fullest window's count."""
+    """``doc_id, item_id, n_shingles, n_found``: every leak, with the fullest window's count, or the document's if no window has enough."""
     found = find_inside(docs, items, k=shingle, threshold=threshold)
     return found.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found"))
 

@@ -1,6 +1,6 @@
 """Operator 5, licence scans: MinHash bands over overlapping windows retrieve notices, exact containment verifies.
 
-A template is found where a window of the text holds 80 % of its distinct
+A template is found where a window, or the text as a whole, holds 80 % of its distinct
 three-word shingles or more (lower case, letters and digits only; notices are
 often a handful of words, so five-word shingles would be too few). The number
 of bands makes a pair at the threshold meet with probability 0.9999 at least;

@@ -104,3 +104,24 @@ def test_notices(docs):
     # the three notices of this family differ in a word or two; one is there in full
     assert found.pop(5) == {"gpl", "lgpl", "agpl-3.0"} and {x for i, x in whole if i == 5} == {"gpl"}
     assert found == {1: {"apache-2.0"}, 2: {"all-rights-reserved"}, None: {"mit"}, 7: {"cc-by-nc-4.0"}}
+
+
+def test_parts_apart_and_inner_repeats(docs, items):
+    """The halves of an item far apart, and a passage longer than its distinct shingles tell."""
+    rng = random.Random(5)
+    tests = [(1, prose(rng, 40)), (2, " ".join([prose(rng, 15), "again " * 60 + prose(rng, 15)])), (3, prose(rng, 40))]
+    halves = tests[0][1].split()
+    rows = [
+        (1, " ".join([prose(rng, 50), *halves[:20], prose(rng, 300), *halves[20:], prose(rng, 50)])),
+        (2, " ".join([prose(rng, 37), tests[1][1], prose(rng, 500)])), (None, " ".join([*halves[20:], prose(rng, 2000), *halves[:20]])),
+        (3, " ".join([*halves[:20], prose(rng, 300), *halves[26:]])), (4, prose(rng, 500)), (5, prose(rng, 90) + " " + tests[2][1]),
+    ]
+    # distinct shingles of the item that the whole text holds
+    want = {
+        (d, i, len(set(shingles(t, 5))), len(set(shingles(t, 5)) & set(shingles(body, 5))))
+        for d, body in rows for i, t in tests if len(set(shingles(t, 5)) & set(shingles(body, 5))) >= 0.8 * len(set(shingles(t, 5)))
+    }
+    assert {(d, i) for d, i, *_ in want} == {(1, 1), (2, 2), (None, 1), (5, 3)}
+    table = docs(rows)
+    assert {tuple(r) for r in decontaminate.leaks(table, items(tests)).collect()} == want
+    assert sorted(r.doc_id for r in decontaminate.drop_leaky(table, items(tests)).collect()) == [3, 4]
