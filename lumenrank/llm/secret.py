@@ -5,8 +5,9 @@ bounded histogram.
 
 1. Base spans (assign, access, hex) come from patterns. The places of all
    matches follow from the lengths of the matches and of what lies between.
-2. Long unbroken tokens are candidates. The encoding (decimal, hex, base32,
-   letters, base64) is inferred from the characters. Against a uniform draw
+2. Long unbroken tokens are candidates. The encoding is inferred from the
+   characters: the smallest of decimal, hex whatever its case, letters, base32,
+   letters and digits (each of one case or both), base64. Against a uniform draw
    from that alphabet three tests are made: chi-squared of the symbol counts
    with its exact mean and variance, runs above and below the middle symbol,
    and serial correlation at lag one. Fisher's method joins their p-values; a
@@ -152,15 +153,23 @@ def _fisher(ps: list[Column]) -> Column:
 
 def battery(token: Column) -> Column:
     """``p_random`` and ``p_text`` of a token of ASCII letters, digits and ``+/_-``, without padding."""
+    hexadecimal = token.rlike("^[0-9A-Fa-f]+$") & ~token.rlike("^[0-9]+$")
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     alphabet = (
-        F.when(token.rlike("^[0-9]+$"), F.lit("0123456789"))
-        .when(token.rlike("^[0-9a-f]+$"), F.lit("0123456789abcdef"))
-        .when(token.rlike("^[0-9A-F]+$"), F.lit("0123456789ABCDEF"))
-        .when(token.rlike("^[A-Z2-7]+$"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
-        .when(token.rlike("^[a-z]+$"), F.lit("abcdefghijklmnopqrstuvwxyz"))
-        .otherwise(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+        F.when(token.rlike("^[0-9]+$"), F.lit(digits))
+        .when(hexadecimal, F.lit("0123456789abcdef"))
+        .when(token.rlike("^[A-Z]+$"), F.lit(upper))
+        .when(token.rlike("^[a-z]+$"), F.lit(lower))
+        .when(token.rlike("^[A-Z2-7]+$"), F.lit(upper + "234567"))
+        .when(token.rlike("^[a-z2-7]+$"), F.lit(lower + "234567"))
+        .when(token.rlike("^[A-Z0-9]+$"), F.lit(upper + digits))
+        .when(token.rlike("^[a-z0-9]+$"), F.lit(lower + digits))
+        .when(token.rlike("^[A-Za-z]+$"), F.lit(upper + lower))
+        .when(token.rlike("^[A-Za-z0-9]+$"), F.lit(upper + lower + digits))
+        .otherwise(F.lit(upper + lower + digits + "+/"))
     )
     plain = F.translate(token, "-_", "+/")
+    symbols = F.when(hexadecimal, F.lower(plain)).otherwise(plain)  # the case of hex digits says nothing
     classes = F.split(F.translate(
         plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "A" * 26 + "a" * 26 + "0" * 10 + "++"
     ), "")
@@ -214,7 +223,7 @@ def battery(token: Column) -> Column:
         return F.filter(F.split(s, ""), lambda c: c != "")
 
     held = F.struct(
-        plain.alias("text"), alphabet.alias("alphabet"), chars(plain).alias("chars"), classes.alias("classes")
+        symbols.alias("text"), alphabet.alias("alphabet"), chars(symbols).alias("chars"), classes.alias("classes")
     )
     return let(let(held, measure), tests)
 

@@ -100,3 +100,32 @@ def test_places_of_many_matches_in_one_text(docs):
     text = "é token=abcdefgh " * 20_000
     row = secret.find_secrets(docs([(1, text)])).first()
     assert row.n_assign == 20_000 and row.base == plain_base(text)
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = {
+    "lower-digits": LOWER + DIGITS, "upper-digits": UPPER + DIGITS, "base62": UPPER + LOWER + DIGITS, "letters": UPPER + LOWER, "upper": UPPER,
+    "base32": UPPER + "234567", "lower-base32": LOWER + "234567", "hex": "0123456789abcdef", "mixed-hex": None,
+}
+
+
+def drawn(rng, name, n):
+    if ALPHABETS[name]:
+        return "".join(rng.choice(ALPHABETS[name]) for _ in range(n))
+    return "".join(rng.choice((str.lower, str.upper))(rng.choice("0123456789abcdef")) for _ in range(n))
+
+
+def test_random_tokens_of_every_encoding_are_random(spark):
+    rng = random.Random(3)
+    rows = [(name, n, drawn(rng, name, n)) for name in ALPHABETS for n in (32, 40, 64, 128) for _ in range(100)]
+    df = spark.createDataFrame(rows, "name string, n int, t string").select("name", "n", secret.battery(F.col("t")).alias("b"))
+    passed = df.groupBy("name", "n").agg(F.count_if(F.col("b.p_random") >= secret.NOT_RANDOM).alias("k")).collect()
+    assert len(passed) == 4 * len(ALPHABETS) and all(r.k >= 94 for r in passed), [tuple(r) for r in passed if r.k < 94]
+
+
+@pytest.mark.parametrize("name", ["lower-digits", "upper-digits", "base62", "mixed-hex"])
+def test_random_keys_become_spans(docs, name):
+    rng = random.Random(13)
+    keys = [drawn(rng, name, n) for n in (40, 64, 128) for _ in range(10)]
+    found = {r.doc_id: r.spans for r in secret.find_secrets(docs([(i, f"see {t} here") for i, t in enumerate(keys)])).collect()}
+    assert sum(found[i] == f"random:4:{4 + len(t)}" for i, t in enumerate(keys)) >= 27
