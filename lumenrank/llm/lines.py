@@ -3,7 +3,9 @@
 Two lines of ``min_chars`` characters or more are alike when their edit
 distance is ``tau`` or less; classes are the connected groups of alike lines.
 Of each class the first occurrence, by (document, line number), stays and the
-others are removed from their documents. Shorter lines are never touched.
+others are removed from their documents. Shorter lines of ``exact_chars``
+characters or more are classes of equal lines only: so few characters make
+two edits too many. Lines below that are never touched.
 
 1. A line is cut into tau + 1 even segments. A line within ``tau`` edits, at
    most ``tau`` characters longer, holds one of them unchanged near its place,
@@ -42,6 +44,7 @@ from lumenrank.llm.text import let
 from lumenrank.session import materialise
 
 MIN_CHARS = 50
+EXACT_CHARS = 20
 TAU = 2
 PARITY_LETTERS = "abcdefghijklmnopqrstuvwxyz ,.0"
 
@@ -212,13 +215,14 @@ FILTER_BITS = 22  # 512 KB
 
 
 def removals(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS,
+    exact_chars: int = EXACT_CHARS,
 ) -> DataFrame:
     """``doc_id, t, removed``: zero-based numbers of the lines that repeat an earlier one, for documents with any."""
     if min_chars <= 3 * tau:
         raise ValueError("lines must be longer than three times the edit distance")
     classes = materialise(alike_lines(docs, id_col, text, tau, min_chars), "line-labels")
-    lines = line_rows(docs, id_col, text, min_chars).select("doc_id", "t", "n", "id")
+    lines = line_rows(docs, id_col, text, min(min_chars, exact_chars)).select("doc_id", "t", "n", "id")
     place = F.struct("doc_id", "t", "n")
     own = materialise(lines.groupBy("id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")), "line-places")
     classed = with_labels(own, "id", classes, "label")
@@ -231,10 +235,11 @@ def removals(
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS,
+    exact_chars: int = EXACT_CHARS,
 ) -> DataFrame:
     """``row`` (the input row), ``removed`` (sorted line numbers) and ``cleaned`` (the text without them)."""
-    gone = removals(docs, id_col, text, tau, min_chars).select(
+    gone = removals(docs, id_col, text, tau, min_chars, exact_chars).select(
         F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.sort_array("removed").alias("removed")
     )
     held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), F.struct("*").alias("row"))

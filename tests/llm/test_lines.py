@@ -109,3 +109,10 @@ def test_dense_group_makes_few_pairs(spark):
     table = spark.createDataFrame([(i, line + f"{i:02d}") for i in range(100)], "doc_id long, text string")
     labels = lines.alike_lines(table, "doc_id", "text", 2, 50).collect()
     assert len(labels) == 99 and len({r.label for r in labels}) == 1
+
+
+def test_short_lines_go_when_equal(docs):
+    notice, other = "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.1."
+    rows = [(1, f"{notice}\nten chars.\n{'x' * 20}"), (2, f"a\n{notice}\nten chars.\n{'y' * 19}"), (3, f"{other}\n{'x' * 20}\n{'y' * 19}\n{notice}")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: f"a\nten chars.\n{'y' * 19}", 3: f"{other}\n{'y' * 19}"}
