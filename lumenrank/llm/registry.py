@@ -30,11 +30,14 @@ def load() -> None:
         language,
         licence,
         lines,
+        negatives,
         packing,
+        pages,
         private,
         quality,
         secret,
         simhash,
+        whitening,
     )
 
 
@@ -44,3 +47,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
