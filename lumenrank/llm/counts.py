@@ -102,10 +102,10 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, version: str =
 
     def count(table):
         for batch in table:
-            texts = [t or b"" for t in batch.column(3).cast(pa.large_binary()).to_pylist()]
-            sizes = []
+            texts, sizes = batch.column(3), []
             for lo, hi in batches(texts):
-                sizes += [len(ids) // 4 for ids in piece_ids(path).encode(texts[lo:hi])]
+                borders = piece_ids(path).encode(texts.slice(lo, hi - lo))[1]
+                sizes += (borders[1:] - borders[:-1]).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -55,12 +55,12 @@ def token_pieces(
 
         encoder, end, width = piece_ids(vocabulary), int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in table:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
+            ids, texts = batch.column(0), batch.column(1)
             rows, number, start, length, crc = [], [], [], [], []
-            texts = [t or b"" for t in texts.to_pylist()]
             for lo, hi in batches(texts):
-                for row, codes in enumerate(encoder.encode(texts[lo:hi]), lo):
-                    codes += end
+                flat, borders = encoder.encode(texts.slice(lo, hi - lo))
+                for row in range(lo, hi):
+                    codes = flat[borders[row - lo] : borders[row - lo + 1]].tobytes() + end
                     for k, at in enumerate(range(0, len(codes), width)):
                         own = codes[at : at + width]
                         rows.append(row)

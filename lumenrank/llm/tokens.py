@@ -1,11 +1,12 @@
 """Token ids of whole texts, computed in Arrow batches inside the tasks.
 
 The vocabulary file drops white space and never joins characters across it,
-so a text is the concatenation of its white-space-free pieces. Each worker
-keeps the ids of pieces it has met, in bounded memory, and asks the tokenizer
-for new ones only. A new piece that is a word and closing marks is looked up
-in two parts, as the vocabulary never joins letters and marks either, and case
-makes no difference to words of ASCII letters.
+so a text is the concatenation of its white-space-free pieces. The pieces of a
+batch are cut, parted into word and closing mark (the vocabulary never joins
+letters and marks, and case makes no difference to ASCII letters) and made
+distinct by Arrow, so Python sees a word once per batch, and the ids of the batch are put together by NumPy. Each worker keeps
+the ids of words it has met, in bounded memory, and asks the tokenizer for
+new ones only.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from __future__ import annotations
 import os
 import unicodedata
 from itertools import chain
+from string import ascii_letters, digits
 
-CACHE_PIECES = 500_000  # pieces remembered per worker, and words
+CACHE_PIECES = 500_000  # words remembered per worker
 CACHE_CHARS = 48  # longer pieces are rarely met again
 
 _CACHES: dict[str, PieceIds] = {}
@@ -36,25 +38,59 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-def plain_word(piece: bytes) -> str | None:
+_CLOSING = ".,;:!?"
+_PLAIN = frozenset(ascii_letters + digits)
+
+
+def plain_word(piece: str) -> str | None:
     """A piece that is one run of letters, as the merges expect it: composed, in lower case, bytes as letters."""
-    if piece.isalpha():  # ASCII letters only
-        return piece.lower().decode()
     if piece.isascii():
-        return None
-    word = unicodedata.normalize("NFC", piece.decode())
+        return piece.lower() if piece.isalpha() else None
+    word = unicodedata.normalize("NFC", piece)
     if "\u03a3" in word:  # its lower case depends on the place in str.lower()
         return None
     word = word.lower()
     return word.encode().decode("latin-1").translate(_BYTE_LETTERS) if word.isalpha() else None
 
 
-def parted(piece: bytes) -> tuple[bytes, bytes]:
-    """A word and the marks that close it, with the ids of the piece when put together."""
-    word = piece.rstrip(b".,;:!?")
-    if word and (word.isalpha() or word.decode()[-1].lower().isalpha()):
-        return (word.lower() if word.isascii() else word), piece[len(word) :]
-    return piece, b""
+def ends_in_letter(word: str) -> bool:
+    """Whether the last character, composed and lowered as the tokenizer does, is a letter or an ASCII digit."""
+    return word[-1] in _PLAIN or (word[-1].isalpha() and unicodedata.normalize("NFC", word).lower()[-1].isalpha())
+
+
+def parted(pieces):
+    """Distinct pieces as words and, dictionary-encoded, the marks that close them; ids of the two are those of the piece.
+
+    A piece whose word doesn't end in a letter, or whose closing marks are
+    several, may join them in one token and stays whole, with no marks.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = pc.ascii_lower(pc.utf8_rtrim(pieces, characters=_CLOSING))
+    n_marks = pc.subtract(pc.utf8_length(pieces), pc.utf8_length(words)).to_numpy()
+    plain = pc.match_substring_regex(words, "[a-z0-9]$").to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(~plain & (n_marks == 1))
+    ends = np.zeros(len(plain), bool)
+    ends[odd] = [w != "" and ends_in_letter(w) for w in words.take(pa.array(odd)).to_pylist()]
+    apart = (plain | ends) & (n_marks <= 1)
+    last = pc.utf8_slice_codeunits(pieces, start=-1)
+    marks = pc.if_else(pa.array(apart & (n_marks == 1)), last, pa.scalar("", pa.large_string()))
+    return pc.if_else(pa.array(apart), words, pieces), marks.dictionary_encode()
+
+
+def _joined(flat, starts, sizes, units, each: int):
+    """The runs ``units`` of ``flat`` one after the other, and start and size of every ``each`` of them together."""
+    import numpy as np
+
+    lengths = sizes[units]
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    places = np.repeat(starts[units] - begins, lengths)
+    places += np.arange(len(places))
+    starts = begins[::each]
+    return flat[places], starts, np.diff(np.append(starts, len(places)))
 
 
 class PieceIds:
@@ -65,64 +101,60 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-        self._words: dict[bytes, bytes] = {}
+        self._known: dict[str, bytes] = {}
 
-    def ask(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces that aren't remembered: words by the vocabulary's merges alone, all else by the whole tokenizer."""
+    def ask(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces: words by the vocabulary's merges alone, all else by the whole tokenizer."""
         import numpy as np
 
-        merge, found, others = self._tokenizer.model.tokenize, {}, []
-        words, ids = [], []
+        merge, words, runs, others = self._tokenizer.model.tokenize, [], [], []
         for piece in pieces:
-            word = plain_word(piece)
+            word = piece if piece.isascii() and piece.isalpha() and piece.islower() else plain_word(piece)
             if word is None:
                 others.append(piece)
             else:
                 words.append(piece)
-                ids.append([t.id for t in merge(word)])
+                runs.append(word)
+        ids = [[t.id for t in merge(run)] for run in runs]
         for at in range(0, len(others), 4096):
             some = others[at : at + 4096]
-            encoded = self._tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            words += some
-            ids += [e.ids for e in encoded]
+            ids += [e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * 4).tolist()
         flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        end = 0
-        for piece, own in zip(words, ids):
-            start, end = end, end + 4 * len(own)
-            found[piece] = flat[start:end]
-        return found
-
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces that are not remembered; short ones are from now on."""
-        parts = {p: parted(p) for p in pieces}
-        wanted = set(chain.from_iterable(parts.values()))
-        known = self._words
-        fresh = self.ask(wanted.difference(known))
-        if len(known) + len(fresh) > CACHE_PIECES:
-            known = {w: known[w] for w in wanted if w in known}
-            self._words = {}
-        self._words.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
-        ids = {w: fresh[w] if w in fresh else known[w] for w in wanted}
-        found = {p: ids[word] + ids[marks] for p, (word, marks) in parts.items()}
-        if len(self._known) + len(found) > CACHE_PIECES:
-            self._known = {}
-        self._known.update((k, v) for k, v in found.items() if len(k) <= CACHE_CHARS)
-        return found
+        return {piece: flat[start:end] for piece, start, end in zip(words + others, [0, *ends], ends)}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, in bytes."""
-        split = [t.split() for t in texts]  # bytes split at ASCII white space only
-        wanted = set().union(*split) if split else set()
-        new = wanted.difference(self._known)
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct pieces; short ones are remembered."""
         known = self._known
+        found = [known.get(w) for w in words]
+        new = [w for w, ids in zip(words, found) if ids is None]
         if new:
-            before = known
-            fresh = self.learn(new)
-            known = self._known
-            if known is not before or any(len(k) > CACHE_CHARS for k in fresh):
-                known = {**{k: before[k] for k in wanted.difference(fresh)}, **fresh}
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+            fresh = self.ask(new)
+            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
+            if len(known) + len(fresh) > CACHE_PIECES:
+                self._known = {}
+            self._known.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
+        return found
+
+    def encode(self, texts):
+        """All ids of an Arrow string column, and where those of each text start and end."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        pieces = split.flatten().dictionary_encode()
+        words, marks = parted(pieces.dictionary)
+        words = words.dictionary_encode()
+        ids = self.of_words(words.dictionary.to_pylist()) + self.of_words(marks.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        flat, starts, sizes = _joined(
+            flat, starts, sizes, np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(words.dictionary)], axis=1).ravel(), 2
+        )  # of distinct pieces: a word and its mark
+        flat, starts, sizes = _joined(flat, starts, sizes, pieces.indices.to_numpy(), 1)
+        borders = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return flat, np.append(starts, len(flat))[borders]
 
 
 def piece_ids(path: str) -> PieceIds:
@@ -132,12 +164,13 @@ def piece_ids(path: str) -> PieceIds:
     return _CACHES[path]
 
 
-def batches(texts, max_chars: int = 4_000_000):
-    """Row ranges of an Arrow string column with at most ``max_chars`` bytes, or one row, each."""
+def batches(texts, max_bytes: int = 8_000_000):
+    """Row ranges of an Arrow string column with at most ``max_bytes``, or one row, each."""
+    import pyarrow.compute as pc
+
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text)
-        if held and held + size > max_chars:
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if held and held + size > max_bytes:
             yield start, i
             start, held = i, 0
         held += size
