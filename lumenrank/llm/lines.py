@@ -13,7 +13,7 @@ two edits too many. Lines below that are never touched.
    the few substrings that can match lines of each length (the length is part
    of the key). Only hashes are shuffled, never texts.
 2. Keys of a single line, nearly all, fall away in one aggregation. Further
-   scans ship only rows that pass a filter of fixed size for what is left.
+   scans ship only rows that pass a bit filter sized for what is left.
 3. Dense groups don't become all their pairs: first every line is compared to
    one line of its key, then only keys that still hold several classes are
    joined, rows outside the key's largest class against the others.
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.llm.components import components, with_labels
-from lumenrank.llm.containment import bit_table, in_table
+from lumenrank.llm.bits import passing
 from lumenrank.llm.registry import documents, query
 from lumenrank.llm.text import let
 from lumenrank.session import materialise
@@ -65,20 +65,22 @@ def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     return size * i + F.greatest(F.lit(i) - short, F.lit(0)), size + (F.lit(i) >= short).cast("int")
 
 
-def segment_keys(line: Column, tau: int) -> Column:
+def segment_keys(line: Column, length: Column, tau: int) -> Column:
     """All keys of a line, as structs ``key, own``: own segments, and substrings that could be segments of others.
 
     For a line ``d`` characters shorter and its segment ``i``, the matching
     substring starts within ``i`` edits from the left and ``tau - i`` from
-    the right.
+    the right. Lines of ASCII characters are cut as bytes, without counting
+    characters from the start; the bytes and so the hashes are the same.
     """
-    length = F.length(line)
+    raw, ascii_only = line.cast("binary"), F.octet_length(line) == length
     keys = []
     for d in range(tau + 1):
         for i in range(tau + 1):
             start, size = _segment(length - d, i, tau)
             for shift in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1):
-                piece = F.substr(line, start + (shift + 1), size)
+                at = start + (shift + 1)
+                piece = F.when(ascii_only, F.substr(raw, at, size)).otherwise(F.substr(line, at, size).cast("binary"))
                 keys.append(
                     F.struct(
                         F.xxhash64(length - d, F.lit(i), piece).alias("key"), F.lit(d == 0 and shift == 0).cast("long").alias("own")
@@ -89,7 +91,8 @@ def segment_keys(line: Column, tau: int) -> Column:
 
 def keyed_lines(lines: DataFrame, tau: int) -> DataFrame:
     """``key, id, own`` of every line and key, written once as two numbers each."""
-    keys = lines.select("id", F.explode(segment_keys(F.col("line"), tau)).alias("k"))
+    measured = lines.select("id", "line", F.length("line").alias("length"))
+    keys = measured.select("id", F.explode(segment_keys(F.col("line"), F.col("length"), tau)).alias("k"))
     packed = materialise(keys.select("k.key", F.shiftleft("id", 1).bitwiseOR(F.col("k.own")).alias("v")), "line-keys")
     return packed.select("key", F.shiftrightunsigned("v", 1).alias("id"), F.col("v").bitwiseAND(F.lit(1)).alias("own"))
 
@@ -172,14 +175,12 @@ def alike_lines(docs: DataFrame, id_col: str, text: str, tau: int, min_chars: in
     keyed = keyed_lines(lines, tau)
     spread = keyed.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
     shared = materialise(spread.filter("_lo < _hi").select("key"), "shared-keys")
-    table = bit_table(shared, "key", FILTER_BITS)
-    maybe = keyed.withColumn("_table", table).filter(in_table(F.col("_table"), F.col("key"), FILTER_BITS))
+    maybe = passing(keyed, shared, "key")
     some = maybe.groupBy("key", "id").agg(F.max("own").alias("own")).join(shared, "key", "left_semi")
     rows = materialise(some, "shared-rows")
 
-    ids = rows.select("id").distinct()
-    id_table = bit_table(ids, "id", FILTER_BITS)
-    candidates = lines.select("id", "line").withColumn("_table", id_table).filter(in_table(F.col("_table"), F.col("id"), FILTER_BITS))
+    ids = materialise(rows.select("id").distinct(), "shared-ids")
+    candidates = passing(lines.select("id", "line"), ids, "id")
     once = candidates.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi")
     texts = materialise(once.withColumn("parity", letter_parity(F.col("line"))), "texts")
     marked = materialise(rows.join(texts.select("id", "parity"), "id"), "marked-rows")
@@ -211,9 +212,6 @@ def alike_lines(docs: DataFrame, id_col: str, text: str, tau: int, min_chars: in
     return components(ends, "line-classes")
 
 
-FILTER_BITS = 22  # 512 KB
-
-
 def removals(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS,
     exact_chars: int = EXACT_CHARS,
@@ -228,9 +226,7 @@ def removals(
     classed = with_labels(own, "id", classes, "label")
     firsts = classed.groupBy("label").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).filter("keep < last")
     repeated = materialise(classed.join(firsts.select("label", "keep"), "label").select("id", "keep"), "repeated")
-    table = bit_table(repeated, "id", FILTER_BITS)
-    maybe = lines.withColumn("_table", table).filter(in_table(F.col("_table"), F.col("id"), FILTER_BITS)).drop("_table")
-    later = maybe.join(repeated, "id").filter(F.struct("doc_id", "t", "n") != F.col("keep"))
+    later = passing(lines, repeated, "id").join(repeated, "id").filter(F.struct("doc_id", "t", "n") != F.col("keep"))
     return later.groupBy("doc_id", "t").agg(F.collect_set("n").alias("removed"))
 
 
@@ -267,12 +263,12 @@ SQL = f"""
 WITH RECURSIVE l AS (
   SELECT doc_id, n - 1 AS n, x AS line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents
-  ) WHERE length(x) >= {MIN_CHARS}
+  ) WHERE length(x) >= {EXACT_CHARS}
 ),
 d AS (SELECT row_number() OVER (ORDER BY line) AS id, line, length(line) AS len FROM (SELECT DISTINCT line FROM l)),
 link AS (
   SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON b.len BETWEEN a.len AND a.len + {TAU} AND a.id != b.id
-  WHERE levenshtein(a.line, b.line) <= {TAU}
+  WHERE a.len >= {MIN_CHARS} AND levenshtein(a.line, b.line) <= {TAU}
 ),
 e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(x, y) AS (SELECT id, id FROM d WHERE id IN (SELECT a FROM e) UNION SELECT x, e.b FROM reach JOIN e ON e.a = y),

@@ -20,6 +20,16 @@ def distance(a, b, limit=1 << 30):
     return row[-1]
 
 
+def may_match(a, b, tau):
+    """An edit changes the counts of two characters at most."""
+    counts = dict.fromkeys(a, 0)
+    for x in a:
+        counts[x] += 1
+    for x in b:
+        counts[x] = counts.get(x, 0) - 1
+    return sum(map(abs, counts.values())) <= 2 * tau
+
+
 def edited(rng, s, n):
     for _ in range(n):
         at, kind = rng.randrange(len(s) + 1), rng.randrange(3)
@@ -40,23 +50,27 @@ def test_banded_distance(spark, tau):
         assert (r.d == want) if want <= tau else (r.d > tau), (r, want)
 
 
-def plain_dedup(rows, tau=2, min_chars=50):
-    """What stays of each row's text, by all pairs of lines."""
+def plain_dedup(rows, tau=2, min_chars=50, exact_chars=20):
+    """What stays of each row's text, by all pairs of lines of like length."""
     places = sorted(
-        {(i is not None, i or 0, t, n, x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if len(x) >= min_chars}, key=lambda p: p[:2]
+        {(i is not None, i or 0, t, n, x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if len(x) >= exact_chars}, key=lambda p: p[:2]
     )
-    texts = sorted({p[4] for p in places})
-    parent = {x: x for x in texts}
+    by_length = {}
+    for x in sorted({p[4] for p in places}):
+        by_length.setdefault(len(x), []).append(x)
+    parent = {x: x for xs in by_length.values() for x in xs}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for k, a in enumerate(texts):
-        for b in texts[:k]:
-            if abs(len(a) - len(b)) <= tau and distance(a, b, tau) <= tau:
-                parent[root(a)] = root(b)
+    for n in sorted(by_length):
+        for a in by_length[n] if n >= min_chars else []:
+            for m in range(n, n + tau + 1):
+                for b in by_length.get(m, []):
+                    if (m > n or a < b) and may_match(a, b, tau) and distance(a, b, tau) <= tau:
+                        parent[root(a)] = root(b)
     groups = {}
     for p in places:
         groups.setdefault(root(p[4]), set()).add(p[:4])
@@ -116,3 +130,25 @@ def test_short_lines_go_when_equal(docs):
     rows = [(1, f"{notice}\nten chars.\n{'x' * 20}"), (2, f"a\n{notice}\nten chars.\n{'y' * 19}"), (3, f"{other}\n{'x' * 20}\n{'y' * 19}\n{notice}")]
     got = {r.doc_id: r.text for r in lines.dedup_lines(docs(rows)).collect()}
     assert got == {1: rows[0][1], 2: f"a\nten chars.\n{'y' * 19}", 3: f"{other}\n{'y' * 19}"}
+
+
+def test_very_long_texts_and_lines(docs):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(9_000))
+    many = [f"line number {k} of a text of very many lines, none of them like another {k * k}" for k in range(3_000)]
+    rows = [(1, long), (2, f"x\n{edited(rng, long, 2)}"), (3, edited(rng, long, 9)), (4, "\n".join(many)), (5, "\n".join(many[::-1]))]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got[1] == long and got[2] == "x" and got[3] == rows[2][1] and got[5] == ""
+    assert set(many) >= set(got[4].split("\n"))
+
+
+def test_bit_filter(spark):
+    """Five million hashes let few others pass, and none is lost."""
+    from lumenrank.llm.bits import filter_bits, passing
+    from lumenrank.session import materialise
+
+    held = materialise(spark.range(5_000_000).select(F.xxhash64("id").alias("h")), "held")
+    others = spark.range(1 << 33, (1 << 33) + 1_000_000).select(F.xxhash64("id").alias("h"))
+    assert passing(others, held, "h").count() < 50_000
+    some = held.limit(100_000)
+    assert passing(some, held, "h").count() == 100_000 and filter_bits(0) == 16 and filter_bits(10**12) == 26
