@@ -1,8 +1,10 @@
 """Operator 8, benchmark decontamination by size-partitioned MinHash containment search.
 
 A document leaks a test item when it holds 80 % of the item's distinct
-five-word shingles or more, in one passage or in parts that stand apart (lower case, letters and digits only, so
-case and punctuation don't hide a leak). See ``containment`` for the search.
+five-word shingles or more, in one passage or in parts that stand apart (lower
+case, letters and digits only, so case and punctuation don't hide a leak). An
+item of fewer words leaks where all its words stand in a row. See
+``containment`` for the search.
 
 Defined results: null, empty and blank texts leak nothing and are leaked
 nowhere. Rows with the same id are searched by their own texts and reported
@@ -20,7 +22,7 @@ from lumenrank.llm.registry import benchmark, documents, query
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, item_id, n_shingles, n_found``: every leak, with the fullest window's count, or the document's if no window has enough."""
+    """``doc_id, item_id, n_shingles, n_found``: every leak, with the shingles of the item that the document holds."""
     found = find_inside(docs, items, k=shingle, threshold=threshold)
     return found.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found"))
 
@@ -35,24 +37,18 @@ def drop_leaky(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
 WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+')"
 SQL = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
-ds AS (
-  SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)
-),
+b AS (SELECT item_id, w, least(len(w), {SHINGLE}) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
 bs AS (
-  SELECT DISTINCT item_id, array_to_string(w[i + 1 : i + 5], ' ') AS g
-  FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM b)
+  SELECT DISTINCT item_id, k, array_to_string(w[i + 1 : i + k], ' ') AS g
+  FROM (SELECT item_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM b)
 ),
-n AS (SELECT item_id, count(*) AS n, 2 * (1 << floor(log2(count(*)))::BIGINT) AS step FROM bs GROUP BY item_id),
-hit AS (
-  SELECT doc_id, item_id, n, g, i // step - o AS win
-  FROM ds JOIN bs USING (g) JOIN n USING (item_id), (VALUES (0), (1)) AS s(o)
-  WHERE i // step - o >= 0
+ds AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[i + 1 : i + k], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(0, greatest(len(w) - k + 1, 0))) AS i FROM d, (SELECT DISTINCT k FROM b))
 ),
-f AS (SELECT doc_id, item_id, n, win, count(DISTINCT g) AS found FROM hit GROUP BY ALL)
-SELECT doc_id, item_id, n AS n_shingles, max(found) AS n_found
-FROM f WHERE found >= 0.8 * n GROUP BY ALL
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found
+FROM ds JOIN bs USING (g, k) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= {THRESHOLD} * n
 """
 
 

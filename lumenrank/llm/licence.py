@@ -69,7 +69,7 @@ def licence_notices(
     """``doc_id, template, licence, n_shingles, n_found``: every template found, by its number in ``templates``."""
     rows = [(i, licence, body) for i, (licence, body) in enumerate(templates)]
     table = docs.sparkSession.createDataFrame(rows, "template int, licence string, body string")
-    found = find_inside(docs, table, id_col, text, "template", "body", shingle, threshold)
+    found = find_inside(docs, table, id_col, text, "template", "body", shingle, threshold, windowed=True)
     best = found.groupBy("doc_id", F.col("item_id").alias("template"), "n_shingles").agg(F.max("n_found").alias("n_found"))
     return best.join(table.select("template", "licence"), "template").select(
         "doc_id", "template", "licence", "n_shingles", "n_found"
@@ -84,19 +84,24 @@ WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+')"
 SQL = f"""
 WITH templates(template, licence, text) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))}),
 d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-b AS (SELECT template, licence, {WORDS} AS w FROM templates),
+b AS (
+  SELECT template, licence, w, least(len(w), {SHINGLE}) AS k FROM (SELECT template, licence, {WORDS} AS w FROM templates) WHERE len(w) > 0
+),
 ds AS (
-  SELECT doc_id, i, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, least(len(w), 1)))) AS i FROM d)
+  SELECT doc_id, i, k, array_to_string(w[i + 1 : i + k], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(0, greatest(len(w) - k + 1, 0))) AS i FROM d, (SELECT DISTINCT k FROM b))
 ),
 bs AS (
-  SELECT DISTINCT template, licence, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS g
-  FROM (SELECT template, licence, w, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, least(len(w), 1)))) AS i FROM b)
+  SELECT DISTINCT template, licence, k, array_to_string(w[i + 1 : i + k], ' ') AS g
+  FROM (SELECT template, licence, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM b)
+),
+n AS (
+  SELECT template, count(*) AS n, any_value(2 * (1 << floor(log2(p))::BIGINT)) AS step
+  FROM bs JOIN (SELECT template, len(w) - k + 1 AS p FROM b) USING (template) GROUP BY template
 ),
-n AS (SELECT template, count(*) AS n, 2 * (1 << floor(log2(count(*)))::BIGINT) AS step FROM bs GROUP BY template),
 hit AS (
   SELECT doc_id, template, licence, n, g, i // step - o AS win
-  FROM ds JOIN bs USING (g) JOIN n USING (template), (VALUES (0), (1)) AS s(o)
+  FROM ds JOIN bs USING (g, k) JOIN n USING (template), (VALUES (0), (1)) AS s(o)
   WHERE i // step - o >= 0
 ),
 f AS (SELECT doc_id, template, licence, n, win, count(DISTINCT g) AS found FROM hit GROUP BY ALL)
