@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.llm.registry import documents, query
@@ -115,20 +115,27 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, version: str =
     return pieces.withColumn("version", F.lit(version)).unionByName(plain.withColumn("version", F.lit("words-1")))
 
 
+def document_key() -> Column:
+    """Names a document by its id and text, so rows without an id, and rows of one id with unlike texts, count each."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("null "))))
+
+
 def maintain(docs: DataFrame, root: str, vocabulary: str | None = None) -> DataFrame:
     """Totals after three batches: all documents, revised counts without repeated lines, exact copies deleted."""
     spark = docs.sparkSession
-    ledger = TokenLedger(spark, root, docs.schema["doc_id"].dataType.simpleString())
-    ledger.commit("load", token_counts(docs, vocabulary).withColumn("op", F.lit(INSERT)))
+    ledger = TokenLedger(spark, root, "string")
+    named = docs.select(document_key().alias("doc_id"), "source", "lang", "text", F.col("doc_id").alias("_id"))
+    ledger.commit("load", token_counts(named, vocabulary).withColumn("op", F.lit(INSERT)))
 
     once = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    changed = docs.select("doc_id", "source", "lang", "text", once.alias("_once")).filter(F.length("_once") < F.length("text"))
+    changed = named.select("doc_id", "source", "lang", "text", once.alias("_once")).filter(F.length("_once") < F.length("text"))
     revised = token_counts(changed.select("doc_id", "source", "lang", F.col("_once").alias("text")), vocabulary)
     revision = materialise(revised.withColumn("op", F.lit(REVISE)), "revised")
     ledger.commit("revise", revision)
 
-    firsts = docs.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("_m")).agg(F.min("doc_id").alias("_keep"))
-    copies = docs.filter("doc_id IS NOT NULL").select("doc_id").join(firsts, F.col("doc_id") == F.col("_keep"), "left_anti")
+    earliest = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("doc_id").alias("key"))
+    firsts = named.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("_m")).agg(F.min(earliest).alias("_keep"))
+    copies = named.select("doc_id").distinct().join(firsts.select(F.col("_keep.key").alias("doc_id")), "doc_id", "left_anti")
     versions = F.explode(F.array(F.lit("word_bpe_49k"), F.lit("words-1"))).alias("version")
     nothing = F.lit(None).cast("string")
     gone = copies.select("doc_id", F.lit(DELETE).alias("op"), nothing.alias("source"), nothing.alias("lang"), F.lit(0).alias("tokens"), versions)

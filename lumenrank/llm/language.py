@@ -145,7 +145,7 @@ def identify(
             ranks[i, np.searchsorted(grams, np.array(profiles[name], np.int64).astype(np.uint64))] = np.arange(len(profiles[name]))
 
         def one(body):
-            codes, counts = count_grams(body) if body else ([], [])
+            codes, counts = count_grams(body) if body and any(map(str.isalpha, body)) else ([], [])
             if not len(codes) or not names:
                 return UNDETERMINED, 0.0
             top = np.lexsort((codes, -counts))[:size] if len(codes) <= 4 * size else None

@@ -52,6 +52,7 @@ BINS_PER_DECADE, TOP_BIN = 10, 400
 PAIR_MATCH, TRIPLE_MATCH = 0.066, 0.0055
 # Share of neighbours of unlike class (lower, upper, digit, mark) in ordinary identifiers.
 CLASS_CHANGE = 0.2
+DIGIT_SHARE = 0.3  # of a word of text made of hex digits, at most
 
 _SPAN = "array<struct<start:bigint,kind_order:int,end:bigint,kind:string>>"
 
@@ -198,6 +199,7 @@ def battery(token: Column) -> Column:
                 F.size(F.filter(inner, lambda i: (F.get(y.v, i) > 0) != (F.get(y.v, i - 1) > 0))).cast("double").alias("turns"),
                 F.size(F.filter(y.v, lambda v: v > 0)).cast("double").alias("high"),
                 F.size(F.filter(inner, lambda i: F.get(x.classes, i) != F.get(x.classes, i - 1))).cast("double").alias("changes"),
+                F.size(F.filter(x.classes, lambda c: c == "0")).cast("double").alias("digits"),
             ),
         )
 
@@ -216,7 +218,12 @@ def battery(token: Column) -> Column:
         spread_pairs = F.sqrt(
             (4 * (n - 2) * (TRIPLE_MATCH - PAIR_MATCH**2) + 2 * (PAIR_MATCH - PAIR_MATCH**2)) / (n * (n - 1))
         )
-        p_match = F.when(k > 16, normal_tail((PAIR_MATCH - pairs) / spread_pairs)).otherwise(F.lit(1.0))
+        z_digits = (m.digits - 0.5 - n * DIGIT_SHARE) / F.sqrt(n * DIGIT_SHARE * (1 - DIGIT_SHARE))
+        p_match = (
+            F.when(k > 16, normal_tail((PAIR_MATCH - pairs) / spread_pairs))
+            .when(k == 16, normal_tail(z_digits))  # six letters match too often to tell
+            .otherwise(F.lit(1.0))
+        )
         return F.struct(p_random.alias("p_random"), _fisher([normal_tail(z_change), p_match]).alias("p_text"))
 
     def chars(s: Column) -> Column:

@@ -173,15 +173,17 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows without an id stay.
+    """One row of each component, the one with the smallest id; rows without an id stay.
 
-    Of several rows with that id one stays.
+    Rows of one id are told apart by their texts, so unlike ones are judged
+    each by its own; of rows with the same id and text one stays.
     """
-    found = near_duplicates(docs, id_col, text)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    held = docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("row"))
-    first = held.join(keep, "_id", "left_semi").groupBy("_id").agg(F.first("row").alias("row"))
-    return first.select("row").union(held.filter(F.col("_id").isNull()).select("row")).select("row.*")
+    own = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t")))
+    found = near_duplicates(docs.select(own.alias("key"), F.col(text).alias("body")), "key", "body")
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key"))
+    held = docs.select(own.alias("_key"), F.struct("*").alias("row"))
+    first = held.join(keep, "_key", "left_semi").groupBy("_key").agg(F.first("row").alias("row"))
+    return first.select("row").union(held.filter(F.col("_key").isNull()).select("row")).select("row.*")
 
 
 @query()

@@ -16,7 +16,7 @@ import unicodedata
 from itertools import chain
 from string import ascii_letters, digits
 
-CACHE_PIECES = 500_000  # words remembered per worker
+CACHE_PIECES = 800_000  # words remembered per worker
 CACHE_CHARS = 48  # longer pieces are rarely met again
 
 _CACHES: dict[str, PieceIds] = {}

@@ -85,3 +85,9 @@ def test_odd_texts(docs, tmp_path):
     got = {r.version: (r.n_docs, r.n_tokens) for r in counts.maintain(docs(rows), str(tmp_path / "l")).collect()}
     assert got["words-1"] == (5, 0 + 2 + 2 + 1 + 20_000)
     assert counts.maintain(docs([]), str(tmp_path / "e")).collect() == []
+
+
+def test_documents_without_id_and_unlike_texts_of_one_id_count_each(docs, tmp_path):
+    rows = [(None, "a"), (None, "b c"), (7, "d e f"), (7, "g"), (7, "g"), (8, "g")]
+    got = {r.version: (r.n_docs, r.n_tokens) for r in counts.maintain(docs(rows), str(tmp_path / "l")).collect()}
+    assert got["words-1"] == (4, 1 + 2 + 3 + 1)

@@ -74,3 +74,10 @@ def test_long_text_is_counted_whole(monkeypatch):
     monkeypatch.setattr(language, "CHUNK", 100)
     parts = language.count_grams(text)
     assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def test_texts_without_letters_are_undetermined(docs):
+    rows = [(1, "\u0301"), (2, "\u0e31 \u0e34"), (3, "\u2764\ufe0f"), (4, "12\u20e3"), (5, "12 !?"), (6, "12 the"), (7, "e\u0301te\u0301")]
+    profiles = language.learn_profiles(docs([(i, "the cat and the dog and the fish ate the food") for i in range(3)]))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs(rows), profiles).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(1, 6)) and got[6][0] == got[7][0] == "en"

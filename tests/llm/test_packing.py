@@ -2,9 +2,11 @@
 
 import bisect
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -80,10 +82,34 @@ def test_small_memory_of_pieces(monkeypatch, tokenizer):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 5)
     ids = tokens.PieceIds(tokens.default_vocabulary())
     texts = ["one two three", "four five six seven " + "y" * 80, "one eight nine ten", ""]
-    got = [np.frombuffer(b, "<u4").tolist() for b in ids.encode([t.encode() for t in texts])]
-    got += [np.frombuffer(b, "<u4").tolist() for t in texts for b in ids.encode([t.encode()])]
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert got == want * 2
+    assert encoded(ids, texts) == want and [x for t in texts for x in encoded(ids, [t])] == want
+
+
+def encoded(ids, texts):
+    flat, borders = ids.encode(pa.array(texts, pa.string()))
+    return [flat[a:b].tolist() for a, b in zip(borders, borders[1:])]
+
+
+def test_ids_of_every_code_point_and_closing_mark(tokenizer):
+    """Each code point alone and after a letter, followed by each mark; normal forms and case may join it to the mark."""
+    ids = tokens.PieceIds(tokens.default_vocabulary())
+    points = [c for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    odd = [c for c in points if not chr(c).isalnum() or unicodedata.normalize("NFC", chr(c)).lower() != chr(c)]
+    for marks, some in ((",", points), (".;:!?", odd)):
+        for mark in marks:
+            for at in range(0, len(some), 20_000):
+                texts = [x for c in some[at : at + 20_000] for x in (f"a{chr(c)}{mark}", f"{chr(c)}{mark}b {mark}{chr(c)}")]
+                want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                assert encoded(ids, texts) == want, mark
+
+
+def test_ids_of_random_texts(tokenizer):
+    rng = random.Random(3)
+    parts = [*"abZéßΣσςİK\u09dc\u0958\u0a33ก한\u1100\u1161\u0301\u03311٣½'’-_.,!?;:\u200d\ufe0f \n\xa0\x85\x1c\u3000中😀", "e\u0301", "'s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(40_000)]
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoded(tokens.PieceIds(tokens.default_vocabulary()), texts) == want
 
 
 @pytest.mark.parametrize("seed", range(5))

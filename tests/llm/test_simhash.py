@@ -121,3 +121,10 @@ def test_components_of_paths_and_hubs(spark):
     hub = [(1000, 1000 + i) for i in range(1, 300)]
     found = components.components(spark.createDataFrame(path + hub + [(7, 7)], "a long, b long")).collect()
     assert {(r.node, r.label) for r in found} == {(i, 0) for i in range(1, 201)} | {(i, 1000) for i in range(1001, 1300)}
+
+
+def test_keep_one_tells_rows_of_one_id_apart(docs):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (None, a), (4, None)]
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs(rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (1, b), (None, a), (4, None)], key=repr)
