@@ -1,6 +1,7 @@
 """Image files: listing, decoding, descriptors, hashes, duplicates, forest, scoring."""
 
 import json
+import uuid
 
 import numpy as np
 import pytest
@@ -210,17 +211,19 @@ def test_vote_state_with_partial_scores(spark, tmp_path):
 
 
 def test_manifest_runs_the_model_once(spark, tmp_path):
-    inputs = spark.sparkContext.accumulator(0)
+    calls = tmp_path / "calls"
+    calls.mkdir()
 
     def make_predict():
         def predict(values):
-            inputs.add(len(values))
+            (calls / uuid.uuid4().hex).write_text(str(len(values)))
             return [[1.0, 2.0, 0.5, 0.1, 0.2, 0.3] for _ in values]
 
         return predict
 
     items = spark.range(30).select(F.col("id").cast("string").alias("item_id"), F.col("id").alias("x"))
     scored = scoring.class_predictions(scoring.score_batches(items, make_predict, "x")).withColumnRenamed("item_id", "image_path")
-    sources.write_predictions(scored, str(tmp_path), "json")
-    row = spark.read.json(str(tmp_path / "manifest")).first()
-    assert (row.total_images, row.successful_predictions, inputs.value) == (30, 30, 30)
+    sources.write_predictions(scored, str(tmp_path / "out"), "json")
+    row = spark.read.json(str(tmp_path / "out" / "manifest")).first()
+    assert (row.total_images, row.successful_predictions) == (30, 30)
+    assert sum(int(p.read_text()) for p in calls.iterdir()) == 30  # counted outside the workers, which are reused
