@@ -1,16 +1,32 @@
-"""Exact self-join of vectors within a cosine distance.
+"""Exact self-join of vectors within a cosine distance, on a rotated index.
 
-The vectors are cut into cells around sampled pivots. Two unit vectors within
-Euclidean distance r of each other but in different cells both lie within r of
-the plane between the two pivots, so a vector is copied only to those cells
-whose plane is that near. Cells are compared tile by tile with a matrix
-product; a tile holds a bounded number of vectors and emits matching pairs only.
+The principal axes of the table come from its Gram matrix, summed up by tasks.
+A vector is kept with its head, the coordinates on the first axes, and the
+norm of the rest, its tail. The vectors are cut into cells around sampled
+pivots; a cell has its mean head as centre, the largest distance of a head
+from it as radius, and its largest tail.
+
+A vector is compared to another cell only if both bounds allow it:
+
+* two unit vectors within Euclidean distance r in different cells both lie
+  within r of the plane between the two pivots;
+* the product with any vector of a cell is at most
+  ``head . centre + |head| radius + tail largest_tail``.
+
+Cells are compared tile by tile, a tile holding a bounded number of vectors.
+There pairs pass ``head . head + tail tail >= 1 - eps`` before the rows and
+columns that are left are multiplied in full.
+
+What leaves a tile depends on the question: the pairs (``vector_pairs``), the
+neighbours of each vector counted (``neighbour_counts``), or the components
+that its pairs make, as one link per vector (``core_links``).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +36,8 @@ from pyspark.sql import functions as F
 from lumenrank.session import materialise
 
 MAX_PIVOTS = 2048
+MAX_HEAD = 32
+HEAD_ENERGY = 0.9  # share of the squares that the head holds, unless it would take half of all axes
 ROWS_AT_ONCE = 1024  # bounds the vectors x pivots matrices in a task
 SLACK = 1e-6
 
@@ -45,23 +63,129 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_pivots(values: DataFrame, n: int, cell_size: int) -> np.ndarray:
-    """At most ``MAX_PIVOTS`` vectors in hash order: a bounded driver-side table."""
+    """At most ``MAX_PIVOTS`` unit vectors, spread out among four times as many in hash order: a bounded driver-side table.
+
+    Each next one is drawn with a chance that grows with its squared distance
+    from those drawn, so that clusters have a pivot of their own.
+    """
     k = max(1, min(MAX_PIVOTS, math.ceil(n / cell_size)))
-    picked = values.orderBy(F.xxhash64("ord"), "ord").select("features").limit(k).collect()
+    picked = values.orderBy(F.xxhash64("ord"), "ord").select("features").limit(4 * k).collect()
     m = np.array([r.features for r in picked], dtype=np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    rng, chosen = np.random.default_rng(0), [0]
+    away = 1.0 - m @ m[0]
+    while len(chosen) < k and away.max() > SLACK:
+        weights = np.maximum(away, 0.0)
+        chosen.append(int(rng.choice(len(m), p=weights / weights.sum())))
+        away = np.minimum(away, 1.0 - m @ m[chosen[-1]])
+    return m[chosen]
+
+
+def principal_axes(values: DataFrame, keep: float = HEAD_ENERGY) -> np.ndarray:
+    """The first axes of the normalised vectors that hold ``keep`` of their squares, as columns; from a d x d sum."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in _slices(batches):
+            unit = _matrix(batch.column("features"))
+            total = unit.T @ unit + (0 if total is None else total)
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (i, j, total)], names=["i", "j", "v"])
+
+    sums = values.select("features").mapInArrow(add, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    rows = sums.collect()  # d x d
+    gram = np.zeros((max(r.i for r in rows) + 1,) * 2)
+    for r in rows:
+        gram[r.i, r.j] = r.v
+    energy, axes = np.linalg.eigh((gram + gram.T) / 2)
+    energy, axes = np.maximum(energy[::-1], 0), axes[:, ::-1]
+    n = int(np.searchsorted(np.cumsum(energy), keep * energy.sum())) + 1
+    return axes[:, : min(n, max(1, len(axes) // 2), MAX_HEAD)]
+
+
+class Index(NamedTuple):
+    """A written table ``ord, features, head, tail, home, mark`` and what its cells are bounded by."""
+
+    table: DataFrame
+    pivots: np.ndarray
+    centres: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+    tails: np.ndarray
+
+
+INDEX = "ord bigint, features array<double>, head array<double>, tail double, home bigint, mark bigint"
+
 
+def _lists(m: np.ndarray) -> pa.ListArray:
+    offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m).ravel()))
 
-def _cells(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home cell of each vector and the (vector, cell) flags of its guest cells."""
-    sims = unit @ pivots.T
-    home = sims.argmax(axis=1)
-    gaps = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0))
-    near = sims[np.arange(len(unit)), home][:, None] - sims <= radius * gaps[home] + SLACK
-    cell = np.arange(len(pivots))
+
+def _plain(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def build_index(values: DataFrame, n: int, cell_size: int) -> Index:
+    """The rotated index of ``ord, features, mark``; ``mark`` is carried."""
+    axes, pivots = principal_axes(values), choose_pivots(values, n, cell_size)
+    k, width = len(pivots), axes.shape[1]
+
+    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            unit = _matrix(batch.column("features"))
+            head = unit @ axes
+            tail = np.sqrt(np.maximum(1.0 - (head * head).sum(axis=1), 0.0))
+            home = (unit @ pivots.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("ord"), _lists(unit), _lists(head), pa.array(tail), pa.array(home), batch.column("mark")],
+                names=["ord", "features", "head", "tail", "home", "mark"],
+            )
+
+    def sum_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, width + 1))
+        for batch in _slices(batches):
+            head = _plain(batch.column("head"))
+            np.add.at(total, batch.column("home").to_numpy(), np.concatenate([head, np.ones((len(head), 1))], axis=1))
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        away, tails = np.full(k, -1.0), np.zeros(k)
+        for batch in _slices(batches):
+            home = batch.column("home").to_numpy()
+            np.maximum.at(away, home, np.linalg.norm(_plain(batch.column("head")) - centres[home], axis=1))
+            np.maximum.at(tails, home, batch.column("tail").to_numpy())
+        some = np.flatnonzero(away >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(away[some]), pa.array(tails[some])], names=["home", "r", "t"])
+
+    table = materialise(values.select("ord", "features", "mark").mapInArrow(rotate, INDEX), "rotated")
+    sums = np.zeros((k, width + 1))
+    added = table.select("head", "home").mapInArrow(sum_heads, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    for r in added.collect():  # at most MAX_PIVOTS x (MAX_HEAD + 1) numbers
+        sums[r.i, r.j] = r.v
+    sizes = sums[:, width].astype(np.int64)
+    centres = sums[:, :width] / np.maximum(sums[:, width:], 1.0)
+    radii, tails = np.zeros(k), np.zeros(k)
+    bounds = table.select("head", "tail", "home").mapInArrow(bound, "home bigint, r double, t double").groupBy("home")
+    for r in bounds.agg(F.max("r").alias("r"), F.max("t").alias("t")).collect():  # at most MAX_PIVOTS rows
+        radii[r.home], tails[r.home] = r.r, r.t
+    return Index(table, pivots, centres, sizes, radii, tails)
+
+
+def guest_cells(index: Index, unit: np.ndarray, head: np.ndarray, tail: np.ndarray, home: np.ndarray, eps: float) -> np.ndarray:
+    """(vector, cell) flags: the other cells in which a vector may have a neighbour and is a guest."""
+    sims = unit @ index.pivots.T
+    gaps = np.sqrt(np.maximum(2.0 - 2.0 * (index.pivots @ index.pivots.T), 0.0))
+    near = sims[np.arange(len(unit)), home][:, None] - sims <= math.sqrt(2.0 * eps) * gaps[home] + SLACK
+    length = np.linalg.norm(head, axis=1)
+    most = head @ index.centres.T + length[:, None] * index.radii + tail[:, None] * index.tails
+    cell = np.arange(len(index.pivots))
     # each unordered pair of cells is handled by one of them, alternating
     guest_side = (home[:, None] < cell) == ((home[:, None] + cell) % 2 == 0)
-    return home, near & guest_side & (home[:, None] != cell)
+    return near & (most >= 1.0 - eps - SLACK) & (index.sizes > 0) & guest_side & (home[:, None] != cell)
 
 
 def cosine_pairs(
@@ -76,114 +200,178 @@ def cosine_pairs(
     return vector_pairs(distinct_vectors(vectors, order, features), eps, cell_size, tile)
 
 
-def vector_pairs(values: DataFrame, eps: float, cell_size: int = 4096, tile: int = 2048) -> DataFrame:
-    spark = values.sparkSession
-    values = materialise(values.select("ord", "features"), "vectors")
-    n = values.count()
-    schema = "ord_a bigint, ord_b bigint, distance double"
-    if n < 2:
-        return spark.createDataFrame([], schema)
-    radius = math.sqrt(2.0 * eps)
-    pivots = spark.sparkContext.broadcast(choose_pivots(values, n, cell_size))
+TILE = ["cell", "kind", "x", "y"]
+_DEALT = "ord bigint, features array<double>, head array<double>, tail double, mark bigint, cell bigint, kind bigint, x bigint, y bigint, side bigint"
 
-    def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(pivots.value)
-        homes, guests = np.zeros(k, np.int64), np.zeros(k, np.int64)
+
+def deal_tiles(index: Index, eps: float, tile: int, table: DataFrame | None = None) -> DataFrame:
+    """Every vector of ``table`` (the index's own by default) once for each tile that it takes part in.
+
+    A tile is (cell, kind, x, y): kind 0 pairs home blocks x <= y, kind 1 pairs
+    home block x with guest block y. Blocks hold some ``tile`` vectors.
+    """
+    rows = index.table if table is None else table
+    shared = rows.sparkSession.sparkContext.broadcast(index._replace(table=None))  # at most MAX_PIVOTS cells
+
+    def parts(batch: pa.RecordBatch):
+        unit, head = _plain(batch.column("features")), _plain(batch.column("head"))
+        tail, home = batch.column("tail").to_numpy(), batch.column("home").to_numpy()
+        return unit, head, tail, home, guest_cells(shared.value, unit, head, tail, home, eps)
+
+    def count_guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guests = np.zeros(len(shared.value.pivots), np.int64)
         for batch in _slices(batches):
-            home, guest = _cells(_matrix(batch.column("features")), pivots.value, radius)
-            homes += np.bincount(home, minlength=k)
-            guests += guest.sum(axis=0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(k)), pa.array(homes), pa.array(guests)], names=["cell", "homes", "guests"]
-        )
-
-    # at most MAX_PIVOTS rows
-    sizes = (
-        values.mapInArrow(count_cells, "cell bigint, homes bigint, guests bigint")
-        .groupBy("cell")
-        .agg(F.sum("homes").alias("homes"), F.sum("guests").alias("guests"))
-        .orderBy("cell")
-        .collect()
-    )
-    home_blocks = np.array([max(1, math.ceil(r.homes / tile)) for r in sizes])
-    guest_blocks = np.array([max(1, math.ceil(r.guests / tile)) for r in sizes])
+            guests += parts(batch)[-1].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(guests))), pa.array(guests)], names=["cell", "n"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Copy each vector to the tiles it takes part in.
+    counted = index.table.mapInArrow(count_guests, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    guests = np.zeros(len(index.pivots), np.int64)
+    for r in counted.collect():  # at most MAX_PIVOTS rows
+        guests[r.cell] = r.n
+    home_blocks, guest_blocks = np.maximum(1, -(-index.sizes // tile)), np.maximum(1, -(-guests // tile))
+    lonely = guests == 0  # cells without a guest need no tiles of kind 1
 
-        A tile is (cell, kind, x, y): kind 0 pairs home blocks x <= y, kind 1
-        pairs home block x with guest block y.
-        """
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            unit = _matrix(batch.column("features"))
-            home, guest = _cells(unit, pivots.value, radius)
-            ords = batch.column("ord").to_numpy()
+            unit, head, tail, home, guest = parts(batch)
+            ords, marks = batch.column("ord").to_numpy(), batch.column("mark").to_numpy()
             mixed = (ords.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            rows, cells, kinds, xs, ys, sides = [], [], [], [], [], []
 
             def put(r, c, kind, x, y, side):
-                rows.append(r)
-                cells.append(c)
-                kinds.append(np.full(len(r), kind))
-                xs.append(np.broadcast_to(x, len(r)))
-                ys.append(np.broadcast_to(y, len(r)))
-                sides.append(np.full(len(r), side))
+                """One copy of the vectors ``r``, in slices, so a fan-out never multiplies in memory."""
+                for at in range(0, len(r), ROWS_AT_ONCE):
+                    part = slice(at, at + ROWS_AT_ONCE)
+                    own = r[part]
+                    ints = [np.broadcast_to(v, len(r))[part].astype(np.int64) for v in (c, kind, x, y, side)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ords[own]), _lists(unit[own]), _lists(head[own]), pa.array(tail[own]), pa.array(marks[own]), *map(pa.array, ints)],
+                        names=["ord", "features", "head", "tail", "mark", *TILE, "side"],
+                    )
 
             r = np.arange(len(unit))
-            hb = home_blocks[home]
-            own = (mixed % hb.astype(np.uint64)).astype(np.int64)
-            for other in range(hb.max()):
-                use = other < hb
-                lo, hi = np.minimum(own, other), np.maximum(own, other)
+            blocks = home_blocks[home]
+            own = (mixed % blocks.astype(np.uint64)).astype(np.int64)
+            for other in range(blocks.max()):
+                use = other < blocks
+                low, high = np.minimum(own, other), np.maximum(own, other)
                 # side 0 is block x, side 1 block y; the diagonal tile has one side
-                at_x = use & (own <= other)
-                at_y = use & (own > other)
-                put(r[at_x], home[at_x], 0, lo[at_x], hi[at_x], 0)
-                put(r[at_y], home[at_y], 0, lo[at_y], hi[at_y], 1)
-            gb = guest_blocks[home]
-            for other in range(gb.max()):
-                use = other < gb
-                put(r[use], home[use], 1, own[use], other, 0)
-            gr, gc = np.nonzero(guest)
-            ghb = home_blocks[gc]
-            gown = (mixed[gr] % guest_blocks[gc].astype(np.uint64)).astype(np.int64)
-            for other in range(ghb.max() if len(ghb) else 0):
-                use = other < ghb
-                put(gr[use], gc[use], 1, other, gown[use], 1)
-            index = np.concatenate(rows)
-            ints = [np.concatenate(c).astype(np.int64) for c in (cells, kinds, xs, ys, sides)]
-            # large fan-outs leave in slices, so a batch never multiplies in memory
-            for at in range(0, len(index), 8192):
-                part = index[at : at + 8192]
-                flat = pa.array(unit[part].astype(np.float64).ravel())
-                offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * unit.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ords[part]), pa.ListArray.from_arrays(offsets, flat)]
-                    + [pa.array(c[at : at + 8192]) for c in ints],
-                    names=["ord", "features", "cell", "kind", "x", "y", "side"],
-                )
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ords = table.column("ord").to_numpy()
-        column = table.column("features").chunk(0)
-        unit = column.flatten().to_numpy(zero_copy_only=False).reshape(len(ords), -1)
-        side = table.column("side").to_numpy()
-        kind, x, y = (table.column(c)[0].as_py() for c in ("kind", "x", "y"))
-        left = np.nonzero(side == 0)[0]
-        diagonal = kind == 0 and x == y
-        right = left if diagonal else np.nonzero(side == 1)[0]
-        distance = 1.0 - unit[left] @ unit[right].T
+                for side, at in ((0, use & (own <= other)), (1, use & (own > other))):
+                    yield from put(r[at], home[at], 0, low[at], high[at], side)
+            blocks = np.where(lonely[home], 0, guest_blocks[home])
+            for other in range(blocks.max()):
+                at = other < blocks
+                yield from put(r[at], home[at], 1, own[at], other, 0)
+            who, where = np.nonzero(guest)
+            blocks = home_blocks[where]
+            block = (mixed[who] % guest_blocks[where].astype(np.uint64)).astype(np.int64)
+            for other in range(blocks.max() if len(blocks) else 0):
+                at = other < blocks
+                yield from put(who[at], where[at], 1, other, block[at], 1)
+
+    return rows.mapInArrow(deal, _DEALT)
+
+
+class Tile(NamedTuple):
+    """The near pairs of a tile: places of both vectors, their distance, and the tile's columns."""
+
+    i: np.ndarray
+    j: np.ndarray
+    distance: np.ndarray
+    ords: np.ndarray
+    marks: np.ndarray
+
+
+def near_pairs(table: pa.Table, eps: float) -> Tile:
+    """Pairs of a tile within ``eps``; heads and tails decide which rows and columns are multiplied."""
+    table = table.combine_chunks()
+    ords, marks = table.column("ord").to_numpy(), table.column("mark").to_numpy()
+    side, tail = table.column("side").to_numpy(), table.column("tail").to_numpy()
+    unit, head = (_plain(table.column(c).chunk(0)) for c in ("features", "head"))
+    diagonal = table["kind"][0].as_py() == 0 and table["x"][0] == table["y"][0]
+    left = np.flatnonzero(side == 0)
+    right = left if diagonal else np.flatnonzero(side == 1)
+    found = []
+    for at in range(0, len(left), ROWS_AT_ONCE):
+        rows = left[at : at + ROWS_AT_ONCE]
+        may = head[rows] @ head[right].T + np.outer(tail[rows], tail[right]) >= 1.0 - eps - SLACK
+        rows, columns = rows[may.any(axis=1)], right[may.any(axis=0)]
+        distance = 1.0 - unit[rows] @ unit[columns].T
         hit = distance <= eps
         if diagonal:
-            hit &= ords[left][:, None] < ords[right][None, :]
+            hit &= ords[rows][:, None] < ords[columns][None, :]
         i, j = np.nonzero(hit)
-        a, b = ords[left[i]], ords[right[j]]
-        return pa.table(
-            {"ord_a": np.minimum(a, b), "ord_b": np.maximum(a, b), "distance": distance[i, j]}
-        )
+        found.append((rows[i], columns[j], distance[i, j]))
+    i, j, distance = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return Tile(i, j, distance, ords, marks)
 
-    tiles = values.mapInArrow(
-        deal, "ord bigint, features array<double>, cell bigint, kind bigint, x bigint, y bigint, side bigint"
-    )
-    return tiles.groupBy("cell", "kind", "x", "y").applyInArrow(compare, schema)
+
+def vector_pairs(values: DataFrame, eps: float, cell_size: int = 4096, tile: int = 2048) -> DataFrame:
+    """``ord_a < ord_b, distance`` of the distinct vectors ``ord, features`` within ``eps``."""
+    schema = "ord_a bigint, ord_b bigint, distance double"
+    values = materialise(values.select("ord", "features", F.lit(0).cast("bigint").alias("mark")), "vectors")
+    n = values.count()
+    if n < 2:
+        return values.sparkSession.createDataFrame([], schema)
+
+    def pairs(table: pa.Table) -> pa.Table:
+        t = near_pairs(table, eps)
+        a, b = t.ords[t.i], t.ords[t.j]
+        return pa.table({"ord_a": np.minimum(a, b), "ord_b": np.maximum(a, b), "distance": t.distance})
+
+    return deal_tiles(build_index(values, n, cell_size), eps, tile).groupBy(*TILE).applyInArrow(pairs, schema)
+
+
+def neighbour_counts(index: Index, eps: float, tile: int = 2048) -> DataFrame:
+    """``ord, near``: the sum of the other vectors' ``mark`` within ``eps``, for vectors that have any.
+
+    A tile gives one row per vector at most, however many pairs it holds.
+    """
+
+    def count(table: pa.Table) -> pa.Table:
+        t = near_pairs(table, eps)
+        near = np.bincount(t.i, t.marks[t.j], len(t.ords)) + np.bincount(t.j, t.marks[t.i], len(t.ords))
+        some = np.flatnonzero(near)
+        return pa.table({"ord": t.ords[some], "near": near[some].astype(np.int64)})
+
+    tiles = deal_tiles(index, eps, tile).groupBy(*TILE).applyInArrow(count, "ord bigint, near bigint")
+    return tiles.groupBy("ord").agg(F.sum("near").alias("near"))
+
+
+def _least_of_component(n: int, i: np.ndarray, j: np.ndarray, ords: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest order of its component under the links ``i, j``."""
+    label = ords.copy()
+    while len(i):
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        place = {o: k for k, o in enumerate(ords.tolist())}
+        jump = np.array([place[x] for x in label.tolist()])
+        label = label[jump]
+        if (label == before).all():
+            break
+    return label
+
+
+def core_links(index: Index, cores: DataFrame, eps: float, tile: int = 2048) -> DataFrame:
+    """``ord_a, ord_b, core`` links that connect cores as their near pairs do, and those of border vectors to cores.
+
+    ``cores`` has ``ord, core``. A tile links each core to the first one of its
+    component there, so dense neighbourhoods leave one row per vector. A
+    vector that is no core has few neighbours, and keeps its links to cores
+    (``ord_a`` the border vector, ``ord_b`` the core).
+    """
+    marked = index.table.drop("mark").join(cores.select("ord", F.col("core").cast("bigint").alias("mark")), "ord")
+    table = marked.select("ord", "features", "head", "tail", "home", "mark")
+
+    def link(part: pa.Table) -> pa.Table:
+        t = near_pairs(part, eps)
+        core_i, core_j = t.marks[t.i] == 1, t.marks[t.j] == 1
+        both = core_i & core_j
+        least = _least_of_component(len(t.ords), t.i[both], t.j[both], t.ords)
+        far = np.flatnonzero(least != t.ords)
+        one, other = core_j & ~core_i, core_i & ~core_j
+        a = np.concatenate([t.ords[far], t.ords[t.i[one]], t.ords[t.j[other]]])
+        b = np.concatenate([least[far], t.ords[t.j[one]], t.ords[t.i[other]]])
+        return pa.table({"ord_a": a, "ord_b": b, "core": np.arange(len(a)) < len(far)})
+
+    return deal_tiles(index, eps, tile, table).groupBy(*TILE).applyInArrow(link, "ord_a bigint, ord_b bigint, core boolean")

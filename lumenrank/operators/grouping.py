@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenrank.operators.cosine import distinct_vectors, vector_pairs
+from lumenrank.operators.cosine import build_index, core_links, distinct_vectors, neighbour_counts
 from lumenrank.operators.hamming import distinct_values, value_pairs
 from lumenrank.operators.positions import with_position
 from lumenrank.session import Rounds, materialise
@@ -125,45 +125,44 @@ def density_clusters(
     item: str = "item_id",
     order: str = "ord",
     features: str = "features",
+    cell_size: int = 4096,
+    tile: int = 2048,
 ) -> DataFrame:
     """Density clusters under cosine distance: ``item_id, ord, cluster``; -1 is noise.
 
     A core item has ``min_samples`` items (itself included) within ``eps``;
     connected cores form a cluster, numbered by its first core; a border item
-    joins the smallest cluster among its core neighbours.
+    joins the smallest cluster among its core neighbours. No list of near pairs
+    is written: tiles give neighbour counts, then one link per core and the few
+    links of border items.
     """
     rows = vectors.select(F.col(item).alias("item_id"), F.col(order).alias("ord"), F.col(features).alias("features"))
-    values = materialise(distinct_vectors(rows), "values")
-    edges = materialise(vector_pairs(values, eps).select("ord_a", "ord_b"), "edges")
+    values = materialise(distinct_vectors(rows).withColumn("mark", F.col("n_copies")), "values")
     # zero vectors have no direction: each one is its own only neighbour
     zeros = rows.filter(~F.exists("features", lambda x: x != 0)).select("ord", F.lit(1).cast("bigint").alias("n_copies"))
     if eps >= 1 and not zeros.isEmpty():
         raise ValueError("with eps of 1 or more a zero vector would be near every item; remove zero vectors first")
     nodes = values.select("ord", "n_copies").unionByName(zeros)
-    both = edges.unionByName(edges.select(F.col("ord_b").alias("ord_a"), F.col("ord_a").alias("ord_b")))
-    around = (
-        both.join(nodes.withColumnRenamed("ord", "ord_b"), "ord_b")
-        .groupBy(F.col("ord_a").alias("ord"))
-        .agg(F.sum("n_copies").alias("near"))
-    )
+    n = values.count()
+    index = build_index(values, n, cell_size) if n else None
+    around = neighbour_counts(index, eps, tile) if n else nodes.select("ord", F.lit(0).alias("near"))
     degree = nodes.join(around, "ord", "left").select(
         "ord", (F.col("n_copies") + F.coalesce("near", F.lit(0)) >= min_samples).alias("core")
     )
     degree = materialise(degree, "degree")
     core = degree.filter("core").select("ord")
-    core_edges = edges.join(core.withColumnRenamed("ord", "ord_a"), "ord_a", "left_semi").join(
-        core.withColumnRenamed("ord", "ord_b"), "ord_b", "left_semi"
-    )
-    component = core.join(connected_components(core_edges), "ord", "left").select(
+    links = core_links(index, degree, eps, tile) if n else degree.select(F.col("ord").alias("ord_a"), F.col("ord").alias("ord_b"), "core").limit(0)
+    links = materialise(links, "links")
+    component = core.join(connected_components(links.filter("core")), "ord", "left").select(
         "ord", F.coalesce("component", "ord").alias("first_core")
     )
     component = materialise(component, "components")
     numbers = with_position(component.select("first_core").distinct(), ["first_core"], name="cluster")
     core_label = component.join(numbers, "first_core").select("ord", "cluster")
-    to_core = both.join(core_label.withColumnRenamed("ord", "ord_b"), "ord_b").join(
-        core.withColumnRenamed("ord", "ord_a"), "ord_a", "left_anti"
+    border = (
+        links.filter("NOT core").join(core_label.withColumnRenamed("ord", "ord_b"), "ord_b")
+        .groupBy(F.col("ord_a").alias("ord")).agg(F.min("cluster").alias("cluster"))
     )
-    border = to_core.groupBy(F.col("ord_a").alias("ord")).agg(F.min("cluster").alias("cluster"))
     labelled = core_label.unionByName(border)
     ids = rows.select("item_id", "ord")
     if values.filter("n_copies > 1").isEmpty():

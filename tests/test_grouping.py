@@ -171,13 +171,55 @@ def test_cosine_pairs_are_all_pairs(spark, cell_size, tile):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_far_cells_exchange_few_vectors():
-    rng = np.random.default_rng(1)
-    base = np.linalg.qr(rng.normal(size=(16, 16)))[0][:8]
-    v = np.repeat(base, 50, axis=0) + 0.02 * rng.normal(size=(400, 16))
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    _, guests = cosine._cells(unit, base, np.sqrt(2 * 0.02))
-    assert guests.sum() == 0
+def clustered(n, clusters=12, dim=48, noise=0.4, seed=1):
+    """Vectors around orthogonal directions; the noise is spread over all dimensions."""
+    rng = np.random.default_rng(seed)
+    base = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:clusters]
+    return base[rng.integers(clusters, size=n)] + noise / np.sqrt(dim) * rng.normal(size=(n, dim))
+
+
+def test_tiles_of_clustered_vectors_are_few(spark):
+    """At eps 0.5 heads and tails rule out most pairs of blocks, and no pair is lost."""
+    v = clustered(1500)
+    eps, cell, tile = 0.5, 50, 50
+    values = frame(spark, v).select("ord", "features", F.lit(1).cast("bigint").alias("mark"))
+    index = cosine.build_index(values, len(v), cell)
+    tiles = cosine.deal_tiles(index, eps, tile).groupBy(*cosine.TILE).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    sizes = [(r.a, r.b or r.a) for r in tiles.collect() if r.a and (r.b or (r.kind == 0 and r.x == r.y))]
+    blocks = sum(max(1, -(-int(s) // tile)) for s in index.sizes)
+    assert len(sizes) < 0.3 * blocks * (blocks + 1) / 2
+    assert sum(a * b for a, b in sizes) < 0.25 * len(v) ** 2 / 2
+    got = {(r.ord_a, r.ord_b) for r in cosine.vector_pairs(values, eps, cell, tile).collect()}
+    a, b = np.nonzero(np.triu(distances(v) <= eps, 1))
+    assert got == set(zip(a.tolist(), b.tolist()))
+
+
+def test_dense_ball_leaves_few_rows(spark):
+    """Of the 10^7 near pairs of a ball, tiles pass on one row per vector."""
+    rng = np.random.default_rng(4)
+    v = np.ones((4000, 6)) + 0.01 * rng.normal(size=(4000, 6))
+    values = frame(spark, v).select("ord", "features", F.lit(1).cast("bigint").alias("mark"))
+    index = cosine.build_index(values, len(v), 4096)
+    counts = cosine.neighbour_counts(index, 0.1, 1024)
+    assert counts.filter("near = 3999").count() == 4000
+    cores = frame(spark, v).select("ord", F.lit(True).alias("core"))
+    links = cosine.core_links(index, cores, 0.1, 1024)
+    assert 3999 <= links.count() <= 5 * 4000
+    got = grouping.density_clusters(frame(spark, v), 0.1, 5, tile=1024).select("cluster").distinct().collect()
+    assert [r.cluster for r in got] == [0]
+
+
+@pytest.mark.parametrize("cell_size,tile", [(20, 7), (4096, 2048)])
+def test_density_clusters_of_small_tiles(spark, cell_size, tile):
+    v = clustered(300, clusters=9, dim=20, noise=0.5, seed=3)
+    got = {r.item_id: r.cluster for r in grouping.density_clusters(frame(spark, v), 0.22, 4, cell_size=cell_size, tile=tile).collect()}
+    want = loop_dbscan(v, 0.22, 4)
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_no_vectors_no_clusters(spark):
+    assert grouping.density_clusters(frame(spark, np.zeros((0, 2))), 0.1, 2).collect() == []
+    assert [r.cluster for r in grouping.density_clusters(frame(spark, np.zeros((2, 2))), 0.1, 2).collect()] == [-1, -1]
 
 
 @pytest.mark.parametrize("eps,min_samples", [(0.05, 2), (0.05, 4), (0.03, 3)])
