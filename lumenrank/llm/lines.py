@@ -58,43 +58,44 @@ def line_rows(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFr
     return long_lines.withColumn("id", F.shiftrightunsigned(F.xxhash64("line"), 1))
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Zero-based start and size of segment ``i`` of a line: even cuts, the longer segments last."""
-    size = F.floor(length / (tau + 1)).cast("int")
-    short = (tau + 1) - length % (tau + 1)
-    return size * i + F.greatest(F.lit(i) - short, F.lit(0)), size + (F.lit(i) >= short).cast("int")
+def _measured(lines: DataFrame, tau: int) -> DataFrame:
+    """What all keys of a line share: its bytes, its length, and how segments of lines ``d`` characters shorter are cut.
+
+    Cuts are even, the longer segments last: ``size{d}`` characters, one more from segment ``short{d}`` on.
+    """
+    length = F.length("line")
+    sizes = [F.floor((length - d) / (tau + 1)).cast("int").alias(f"size{d}") for d in range(tau + 1)]
+    shorts = [(F.lit(tau + 1) - (length - d) % (tau + 1)).alias(f"short{d}") for d in range(tau + 1)]
+    ascii_only = (F.octet_length("line") == length).alias("ascii")
+    return lines.select("id", "line", F.col("line").cast("binary").alias("raw"), length.alias("length"), ascii_only, *sizes, *shorts)
 
 
-def segment_keys(line: Column, length: Column, tau: int) -> Column:
-    """All keys of a line, as structs ``key, own``: own segments, and substrings that could be segments of others.
+def segment_keys(tau: int) -> Column:
+    """All keys of a line as longs: a hash of 63 bits, and whether it is of an own segment or of a substring that could be one of others.
 
     For a line ``d`` characters shorter and its segment ``i``, the matching
     substring starts within ``i`` edits from the left and ``tau - i`` from
     the right. Lines of ASCII characters are cut as bytes, without counting
     characters from the start; the bytes and so the hashes are the same.
     """
-    raw, ascii_only = line.cast("binary"), F.octet_length(line) == length
     keys = []
     for d in range(tau + 1):
+        short = F.col(f"short{d}")
         for i in range(tau + 1):
-            start, size = _segment(length - d, i, tau)
+            size = F.col(f"size{d}") + (F.lit(i) >= short).cast("int")
+            start = F.col(f"size{d}") * i + F.greatest(F.lit(i) - short, F.lit(0))
             for shift in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1):
                 at = start + (shift + 1)
-                piece = F.when(ascii_only, F.substr(raw, at, size)).otherwise(F.substr(line, at, size).cast("binary"))
-                keys.append(
-                    F.struct(
-                        F.xxhash64(length - d, F.lit(i), piece).alias("key"), F.lit(d == 0 and shift == 0).cast("long").alias("own")
-                    )
-                )
+                piece = F.when(F.col("ascii"), F.substr("raw", at, size)).otherwise(F.substr("line", at, size).cast("binary"))
+                own = F.lit(int(d == 0 and shift == 0)).cast("bigint")
+                keys.append(F.shiftleft(F.xxhash64(F.col("length") - d, F.lit(i), piece), 1).bitwiseOR(own))
     return F.array(*keys)
 
 
 def keyed_lines(lines: DataFrame, tau: int) -> DataFrame:
     """``key, id, own`` of every line and key, written once as two numbers each."""
-    measured = lines.select("id", "line", F.length("line").alias("length"))
-    keys = measured.select("id", F.explode(segment_keys(F.col("line"), F.col("length"), tau)).alias("k"))
-    packed = materialise(keys.select("k.key", F.shiftleft("id", 1).bitwiseOR(F.col("k.own")).alias("v")), "line-keys")
-    return packed.select("key", F.shiftrightunsigned("v", 1).alias("id"), F.col("v").bitwiseAND(F.lit(1)).alias("own"))
+    packed = materialise(_measured(lines, tau).select("id", F.explode(segment_keys(tau)).alias("k")), "line-keys")
+    return packed.select(F.shiftright("k", 1).alias("key"), "id", F.col("k").bitwiseAND(F.lit(1)).alias("own"))
 
 
 def letter_parity(line: Column) -> Column:
@@ -220,7 +221,7 @@ def removals(
     if min_chars <= 3 * tau:
         raise ValueError("lines must be longer than three times the edit distance")
     classes = materialise(alike_lines(docs, id_col, text, tau, min_chars), "line-labels")
-    lines = line_rows(docs, id_col, text, min(min_chars, exact_chars)).select("doc_id", "t", "n", "id")
+    lines = materialise(line_rows(docs, id_col, text, min(min_chars, exact_chars)).select("doc_id", "t", "n", "id"), "lines")
     place = F.struct("doc_id", "t", "n")
     own = materialise(lines.groupBy("id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")), "line-places")
     classed = with_labels(own, "id", classes, "label")
