@@ -227,7 +227,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- fingerprints and grids
 
 SQL["simhash"] = """
- with t as (select doc_id, md5(tok) m from (select doc_id, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) tok from documents)),
+ with t as (select doc_id, md5(tok) m from (select doc_id, unnest(regexp_extract_all(lower(text),'[\\p{L}\\p{M}\\p{N}]+')) tok from documents)),
  h as (select doc_id, ('0x'||substr(m,1,8))::bigint hi, ('0x'||substr(m,9,8))::bigint lo, count(*) n from t group by 1,2,3),
  g as (select doc_id, b, sum(case when (hi >> b) & 1 = 1 then n else -n end) shi, sum(case when (lo >> b) & 1 = 1 then n else -n end) slo
   from h, range(0,32) z(b) group by 1,2)

@@ -19,7 +19,7 @@ BINS = 256
 
 
 def text_fingerprint(docs: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
-    """64-bit SimHash of the words of a text: ``item, h``.
+    """64-bit SimHash of the words of a text, runs of letters, marks and digits of any script: ``item, h``.
 
     Words are exploded and summed in the task that reads the text; one row of
     counters per text is exchanged. Bits j of the upper and the lower half are
@@ -27,9 +27,8 @@ def text_fingerprint(docs: DataFrame, item: str = "doc_id", text: str = "text")
     result is set when more than half of the words have it. Texts without words
     have no fingerprint.
     """
-    words = docs.select(
-        F.col(item), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")
-    )
+    spaced = F.regexp_replace(F.lower(F.col(text)), "[^\\p{L}\\p{M}\\p{N}]+", " ")
+    words = docs.select(F.col(item), F.explode(F.split(spaced, " ")).alias("w")).filter("w <> ''")
     half = "cast(conv(substring(m, {at}, 8), 16, 10) as bigint)"
     bits = words.select(item, F.md5("w").alias("m")).selectExpr(
         item, f"{half.format(at=1)} as hi", f"{half.format(at=9)} as lo"

@@ -251,6 +251,7 @@ def test_components_of_a_hub_and_a_chain(spark):
 
 
 def test_text_without_words_has_no_fingerprint(spark):
-    docs = spark.createDataFrame([(1, "a b"), (2, "..."), (3, "B a")], "doc_id bigint, text string")
+    rows = [(1, "a b"), (2, "..."), (3, "B a"), (4, "élan vital"), (5, "lan vital"), (6, "вода и лес"), (7, "Лес, И ВОДА!"), (8, "水 火"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.h for r in fingerprints.text_fingerprint(docs).collect()}
-    assert set(got) == {1, 3} and got[1] == got[3]
+    assert set(got) == {1, 3, 4, 5, 6, 7, 8} and got[1] == got[3] and got[4] != got[5] and got[6] == got[7]
