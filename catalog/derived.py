@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank import functions as fn
@@ -43,7 +43,8 @@ SQL = {}
 
 SQL["predictions"] = """
  with l as (select vec_id, label, list_max(embedding)::double > 0.38 bad,
-   list_transform(embedding[1:6], lambda x: x::double*10) lg from embeddings),
+   list_transform(range(0, 6), lambda i: list_sum(list_transform(list_filter(embedding, lambda x, j: (j - 1) % 6 = i), lambda x: x::double*10))) lg
+  from embeddings),
  e as (select *, list_transform(lg, lambda x: exp(x - list_max(lg))) ex from l),
  p as (select *, list_transform(ex, lambda x: x / list_sum(ex)) pr from e)
  select vec_id item_id, concat('/lib/set', label, '/img_', vec_id, '.png') image_path, not bad success,
@@ -57,16 +58,23 @@ SQL["predictions"] = """
 OUT_OF_RANGE = 0.38
 
 
+def folded(n: int) -> Column:
+    """The whole vector as ``n`` outputs: sums of ten times the components at every n-th place."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.aggregate(F.filter("embedding", lambda x, j: j % n == i), F.lit(0.0), lambda total, x: total + x.cast("double") * 10),
+    )
+
+
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    """Model outputs: six components as logits; vectors out of range count as failures."""
+    """Model outputs: the vector folded into six logits; vectors out of range count as failures."""
     ok = F.array_max("embedding").cast("double") <= OUT_OF_RANGE
-    ten = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double") * 10)
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("item_id"),
         F.format_string("/lib/set%d/img_%d.png", "label", "vec_id").alias("image_path"),
         ok.alias("success"),
         F.when(~ok, F.lit("ValueError: value out of range")).alias("error"),
-        F.when(ok, ten).alias("output"),
+        F.when(ok, folded(6)).alias("output"),
         (F.col("label") % 6).cast("int").alias("truth"),
     )
 
@@ -76,13 +84,13 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["ratings10"] = """
- with l as (select vec_id, list_transform(embedding[1:10], lambda x: exp(x::double*10)) ex from embeddings)
+ with l as (select vec_id, list_transform(range(0, 10), lambda i:
+   exp(list_sum(list_transform(list_filter(embedding, lambda x, j: (j - 1) % 10 = i), lambda x: x::double*10)))) ex from embeddings)
  select vec_id item_id, list_transform(ex, lambda x: x/list_sum(ex)) probs from l"""
 
 
 def ratings10(spark: SparkSession, sf: str) -> DataFrame:
-    ten = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10)
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), fn.softmax(ten).alias("probs"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), fn.softmax(folded(10)).alias("probs"))
 
 
 # ---------------------------------------------------------------- votes

@@ -28,12 +28,12 @@ def class_probabilities(spark, sf):
 
 
 def make_scorer():
-    """Caller's model: six components as logits; refuses vectors out of range."""
+    """Caller's model: the vector folded into six logits; refuses vectors out of range."""
 
     def predict(batch):
         if any(max(v) > OUT_OF_RANGE for v in batch):
             raise ValueError("value out of range")
-        return [[float(x) * 10 for x in v[:6]] for v in batch]
+        return [[sum(float(x) * 10 for x in v[i::6]) for i in range(6)] for v in batch]
 
     return predict
 
@@ -62,7 +62,7 @@ def distribution_scoring(spark, sf):
         import numpy as np
 
         def predict(batch):
-            e = np.exp(np.array([v[:10] for v in batch], dtype=np.float64) * 10)
+            e = np.exp(np.array([[sum(float(x) * 10 for x in v[i::10]) for i in range(10)] for v in batch]))
             return e / e.sum(axis=1, keepdims=True)
 
         return predict
@@ -72,11 +72,11 @@ def distribution_scoring(spark, sf):
     return scored.select("item_id", F.size("output").cast("bigint").alias("n_grades"), F.round("mean_score", 6).alias("mean_score"))
 
 
-@query("select vec_id item_id, true success, round(embedding[1]::double, 6) score from embeddings")
+@query("select vec_id item_id, true success, round(list_sum(list_transform(embedding, lambda x: x::double)) / len(embedding), 6) score from embeddings")
 def scalar_scoring(spark, sf):
     """Scoring hook that returns one number."""
     vectors = derived.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    scored = scoring.score_batches(vectors, lambda: (lambda batch: [[v[0]] for v in batch]), "embedding")
+    scored = scoring.score_batches(vectors, lambda: (lambda batch: [[sum(map(float, v)) / len(v)] for v in batch]), "embedding")
     return scoring.scalar_scores(scored).select("item_id", "success", F.round("score", 6).alias("score"))
 
 
