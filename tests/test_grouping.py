@@ -105,6 +105,44 @@ def test_long_chain_is_settled(spark):
     assert got == greedy(hashes, 1)
 
 
+def greedy_edges(edges):
+    """Owners by the sequential scan over an edge list."""
+    later = {}
+    for a, b in edges:
+        later.setdefault(min(a, b), []).append(max(a, b))
+    owner = {}
+    for x in sorted({x for e in edges for x in e}):
+        if x not in owner:
+            for y in later.get(x, []):
+                owner.setdefault(y, x)
+    return owner
+
+
+def test_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 in scan order, one that branches, and one that meets itself again."""
+    edges = [(i, i + 1) for i in range(1000)]
+    edges += [(2000, 2001), (2001, 2002), (2001, 2003), (2002, 2004), (2003, 2005), (2005, 2006), (2004, 2006), (2006, 2007)]
+    saved = []
+
+    class Counted(grouping.Rounds):
+        def save(self, df):
+            saved.append(self.name)
+            return super().save(df)
+
+    monkeypatch.setattr(grouping, "Rounds", Counted)
+    got = {r.ord: r.leader for r in grouping.lead_members(spark.createDataFrame(edges, "ord_a bigint, ord_b bigint")).collect()}
+    assert got == greedy_edges(edges)
+    assert saved.count("open-edges") <= 3 and saved.count("chains") <= 14
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaders_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({tuple(sorted(rng.sample(range(400), 2))) for _ in range(450)})
+    got = {r.ord: r.leader for r in grouping.lead_members(spark.createDataFrame(edges, "ord_a bigint, ord_b bigint")).collect()}
+    assert got == greedy_edges(edges)
+
+
 def test_nothing_similar(spark):
     groups = grouping.leader_groups(table(spark, [0, -1]), 5)
     assert groups.count() == 0
