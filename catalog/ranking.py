@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import derived, query
+from lumenrank import plans, sources
 from lumenrank.operators import aggregates, filters, positions, ranking
 from lumenrank.plans import vote_report
+from lumenrank.session import scratch_root
 
 
 @query("select session_id, item, 0.0::double raw_score, 2.5::double score from players", uses="players")
@@ -63,6 +67,48 @@ def duel_history(spark, sf):
     return ranking.duel_history(derived.duels(spark, sf))
 
 
+@query(
+    f"""with h as ({_HISTORY}) select *, timestamp '2024-01-01 00:00:00' + (session_id * 1000 + seq) * interval 1 second as timestamp from h""",
+    uses="bounded_walk",
+)
+def timed_duel_history(spark, sf):
+    """Votes with a time; a late repeat of a vote changes neither the scores nor its time."""
+    ts = F.timestamp_seconds(F.lit(derived.JANUARY) + F.col("session_id") * 1000 + F.col("seq"))
+    duels = derived.duels(spark, sf).withColumn("ts", ts)
+    again = duels.filter("seq % 3 = 0").withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))
+    return ranking.duel_history(duels.unionByName(again))
+
+
+@query("select session_id, item, round(raw_score, 6) raw_score from elo", uses="elo")
+def elo_ratings_from_snapshots(spark, sf):
+    """Three parts of the votes, each on top of the snapshot of the part before; parts overlap."""
+    return _in_parts(spark, sf, "elo").select("session_id", "item", F.round("raw_score", 6).alias("raw_score"))
+
+
+@query("select session_id, item, raw_score from bounded", uses="bounded")
+def bounded_ratings_from_snapshots(spark, sf):
+    return _in_parts(spark, sf, "condorcet")
+
+
+def _in_parts(spark, sf, method: str):
+    duels, path = derived.duels(spark, sf), f"{scratch_root(spark)}/snapshots-{uuid.uuid4().hex}"
+    sources.write_snapshot(spark, plans.rate_votes(duels.filter("seq <= 5"), method), path, 1)
+    for version, upto in ((2, "seq <= 15"), (3, "true")):
+        rated = plans.rate_votes(duels.filter(upto), method, sources.read_snapshot(spark, path))
+        sources.write_snapshot(spark, rated, path, version)
+    return sources.read_snapshot(spark, path).ratings
+
+
+@query(
+    "select session_id, max(seq) last_seq, count(distinct seq) n_duels from duels group by 1", uses="duels"
+)
+def session_progress(spark, sf):
+    """How far each session has come, kept up through two snapshots."""
+    duels = derived.duels(spark, sf)
+    half = plans.rate_votes(duels.filter("seq <= 9"), "condorcet")
+    return plans.rate_votes(duels.filter("seq > 4"), "condorcet", half).progress
+
+
 @query(_HISTORY, uses="bounded_walk")
 def duel_history_in_levels(spark, sf):
     return ranking.duel_history(derived.duels(spark, sf), fanout=4)

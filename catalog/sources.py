@@ -19,19 +19,22 @@ def _target(spark, name: str) -> str:
 
 
 @query(
-    "select distinct quality::int as label, 'quality_' || quality folder from labels join documents using (doc_id)"
+    """select quality::int as label, 'quality_' || quality folder, sum(strlen(coalesce(text, '')) + 1)::bigint bytes, true named
+ from labels join documents using (doc_id) group by 1, 2"""
 )
 def library_scan(spark, sf):
-    """Write labelled documents into quality_N folders and scan the folder tree."""
+    """Write labelled texts into quality_N folders, scan the folder tree, count the bytes of its files."""
     path = _target(spark, "library")
     docs = derived.table(spark, sf, "documents").join(derived.table(spark, sf, "labels"), "doc_id")
-    placed = docs.select("doc_id", "lang", "n_chars", F.concat(F.lit("quality_"), F.col("quality").cast("string")).alias("dest_dir"))
+    placed = docs.select("quality", F.coalesce("text", F.lit("")).alias("value"))
     for folder in ("quality_0", "quality_1"):
-        part = placed.filter(F.col("dest_dir") == folder).drop("dest_dir")
-        part.write.mode("overwrite").json(f"{path}/{folder}")
-    items = sources.scan_items(spark, path, recursive=True, extensions=["json"])
+        part = placed.filter(F.concat(F.lit("quality_"), F.col("quality").cast("string")) == folder)
+        part.select("value").write.mode("overwrite").text(f"{path}/{folder}")
+    items = sources.scan_items(spark, path, recursive=True, extensions=["txt"])
     labelled = sources.labels_from_folders(items)
-    return labelled.select("label", fn.basename(F.col("dir")).alias("folder")).distinct()
+    return labelled.groupBy("label", fn.basename(F.col("dir")).alias("folder")).agg(
+        F.sum("length").alias("bytes"), F.bool_and(F.col("name").endswith(F.col("ext"))).alias("named")
+    )
 
 
 @query(

@@ -27,12 +27,15 @@ MAX_COMPARISONS = 100  # planned length of a session where one is asked for
 
 
 def unique_duels(duels: DataFrame) -> DataFrame:
-    """One row per (session, seq); repeats of a vote are dropped map-side."""
-    first = F.min(F.struct("winner", "loser")).alias("d")
+    """One row per (session, seq); repeats of a vote are dropped map-side.
+
+    A vote time ``ts`` is kept where there is one: that of the vote that
+    counts, the earliest of its repeats.
+    """
+    vote = ["winner", "loser", *(["ts"] if "ts" in duels.columns else [])]
+    first = F.min(F.struct(*vote)).alias("d")
     valid = duels.filter(F.col("winner") != F.col("loser"))
-    return valid.groupBy("session_id", "seq").agg(first).select(
-        "session_id", "seq", "d.winner", "d.loser"
-    )
+    return valid.groupBy("session_id", "seq").agg(first).select("session_id", "seq", *[f"d.{c}" for c in vote])
 
 
 def limit_duels(duels: DataFrame, n: int = MAX_COMPARISONS) -> DataFrame:
@@ -112,7 +115,9 @@ def elo_ratings(
         return _fold_block(d, seeds, k)
     blocks = (longest - 1) // block + 1
     once, long = (sizes.filter(c).select("session_id") for c in (F.col("_n") <= block, F.col("_n") > block))
-    done = _fold_block(d.join(once, "session_id", "left_semi"), _of(seeds, once), k)
+    # sessions without a new duel keep their saved ratings
+    resting = None if seeds is None else seeds.join(long, "session_id", "left_anti")
+    done = _fold_block(d.join(once, "session_id", "left_semi"), resting, k)
     placed = with_position(d.join(long, "session_id", "left_semi"), ["seq"], ["session_id"], "_pos")
     blocked = placed.withColumn("_block", F.floor(F.col("_pos") / block))
     blocked = materialise(blocked.drop("_pos"), "elo-duels", ["_block"])
@@ -171,7 +176,8 @@ def _steps(duels: DataFrame) -> DataFrame:
             F.struct(F.col("loser").alias("item"), F.lit(-BOUNDED_STEP).alias("step")),
         )
     )
-    return duels.select("session_id", "seq", sides.alias("s")).select("session_id", "seq", "s.item", "s.step")
+    own = ["session_id", "seq", *(["ts"] if "ts" in duels.columns else [])]
+    return duels.select(*own, sides.alias("s")).select(*own, "s.item", "s.step")
 
 
 def _compose(runs: Column) -> Column:
@@ -274,7 +280,7 @@ def duel_history(duels: DataFrame, initial: DataFrame | None = None, fanout: int
 
     The range clamps of :func:`bounded_ratings` give each range its start
     value from the top level down; the last scan then runs inside ranges of at
-    most ``fanout`` duels.
+    most ``fanout`` duels. Duels with a vote time ``ts`` give a ``timestamp``.
     """
     span = _span(duels)
     base, width = (span.lo, span.hi - span.lo + 1) if span.lo is not None else (0, 1)
@@ -306,7 +312,9 @@ def duel_history(duels: DataFrame, initial: DataFrame | None = None, fanout: int
     def side(flag: Column, value: Column, name: str) -> Column:
         return F.max(F.when(flag, value)).alias(name)
 
+    timed = [F.max("ts").alias("timestamp")] if "ts" in steps.columns else []
     return sides.groupBy("session_id", "seq").agg(
+        *timed,
         side(won, F.col("item"), "image1"),
         side(lost, F.col("item"), "image2"),
         side(won, F.col("item"), "winner"),

@@ -11,26 +11,43 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lumenrank import functions as fn
+from lumenrank.schemas import struct
 from lumenrank.tiers import tier_label
 
 PredictBatch = Callable[[list], Sequence[Sequence[float]]]
 
 
+def _doubles(row: Sequence[float]) -> np.ndarray:
+    """One output as a vector of doubles; anything else is the model's failure."""
+    values = np.asarray(row, dtype="float64")
+    if values.ndim != 1:
+        raise ValueError("an output is a list of numbers")
+    return values
+
+
 def score_batches(
     items: DataFrame,
     make_predict: Callable[[], PredictBatch],
     input_col: str,
     item: str = "item_id",
     batch_size: int = 100,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``item, output array<double>, success, error`` for every input row."""
-    kind = items.schema[item].dataType.simpleString()
+    """``item_id, output array<double>, success, error`` for every input row, and the columns in ``keep``."""
+    kept = list(keep)
+    own = [StructField("item_id", items.schema[item].dataType), *struct("output array<double>, success boolean, error string").fields]
+    clash = [c for c in kept if c == "value" or c in (f.name for f in own)]
+    if clash:
+        raise ValueError(f"rename the columns {clash} before they are kept")
+    schema = StructType(own + [StructField(c, items.schema[c].dataType) for c in kept])
     key = uuid.uuid4()
 
     def load() -> PredictBatch:
@@ -43,7 +60,7 @@ def score_batches(
 
     def one(predict: PredictBatch, value: object) -> tuple:
         try:
-            return [float(v) for v in predict([value])[0]], True, None
+            return _doubles(predict([value])[0]), True, None
         except Exception as exc:  # noqa: BLE001 - any failure becomes a row
             return None, False, f"{type(exc).__name__}: {exc}"
 
@@ -58,16 +75,15 @@ def score_batches(
                     out = predict(chunk)
                     if len(out) != len(chunk):
                         raise ValueError("one output per input expected")
-                    results += [([float(v) for v in row], True, None) for row in out]
+                    results += [(_doubles(row), True, None) for row in out]
                 except Exception:  # noqa: BLE001 - isolate the failing rows
                     results += [one(predict, v) for v in chunk]
             output, success, error = zip(*results) if results else ((), (), ())
-            yield pd.DataFrame(
-                {"item_id": pdf["item_id"].to_numpy(), "output": list(output), "success": list(success), "error": list(error)}
-            )
+            scored = {"item_id": pdf["item_id"], "output": list(output), "success": list(success), "error": list(error)}
+            yield pd.DataFrame(scored | {c: pdf[c] for c in kept}, index=pdf.index)
 
-    rows = items.select(F.col(item).alias("item_id"), F.col(input_col).alias("value"))
-    return rows.mapInPandas(run, f"item_id {kind}, output array<double>, success boolean, error string")
+    rows = items.select(F.col(item).alias("item_id"), F.col(input_col).alias("value"), *kept)
+    return rows.mapInPandas(run, schema)
 
 
 def class_predictions(scored: DataFrame, logits: str = "output") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
@@ -30,11 +30,13 @@ class ScoreReport(NamedTuple):
 
 
 def score_library(
-    items: DataFrame, make_predict: Callable, input_col: str, threshold: float | None = None, item: str = "item_id"
+    items: DataFrame, make_predict: Callable, input_col: str, threshold: float | None = None, item: str = "item_id",
+    keep: Sequence[str] = (),
 ) -> ScoreReport:
-    """Score every item, apply the confidence threshold, summarise."""
+    """Score every item, apply the confidence threshold, summarise; the columns in ``keep`` stay with their item."""
     # summary and distribution read the scores again; the model runs once
-    predictions = materialise(class_predictions(score_batches(items, make_predict, input_col, item)), "scores")
+    scored = score_batches(items, make_predict, input_col, item, keep=keep)
+    predictions = materialise(class_predictions(scored), "scores")
     kept = filter_confidence(predictions, threshold)
     return ScoreReport(kept, prediction_summary(kept), tier_distribution(kept))
 

@@ -77,19 +77,38 @@ class Rounds:
         self.path = f"{scratch_root(spark)}/{self.name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         if previous:
-            _delete(spark, previous)
+            delete_path(spark, previous)
         return spark.read.schema(df.schema).parquet(self.path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def list_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """The rests of the names of the folders in ``path`` that begin with ``prefix``; for folders of few entries."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return []
+    names = [entry.getPath().getName() for entry in fs.listStatus(target) if entry.isDirectory()]
+    return sorted(name[len(prefix):] for name in names if name.startswith(prefix))
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
-    _delete(spark, scratch_root(spark))
+    delete_path(spark, scratch_root(spark))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -51,7 +51,7 @@ def scan_items(
 ) -> DataFrame:
     """Files below ``root`` (or one file), without reading their content.
 
-    Spark lists no file or folder whose name starts with a dot or underscore.
+    Spark lists no empty file, and no file or folder whose name starts with a dot or underscore.
     """
     files = (
         spark.read.format("binaryFile")

@@ -14,6 +14,7 @@ from lumenrank.operators.ranking import (
     BOUNDED_MAX, BOUNDED_MIN, BOUNDED_START, BOUNDED_STEP, ELO_K, ELO_START,
 )
 from lumenrank.schemas import struct
+from lumenrank.sources.snapshots import Snapshot
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "item string, raw_score double, last_seq bigint"
@@ -36,7 +37,8 @@ class _Ratings(StatefulProcessor):
     applied number is a repeat and ignored. A vote beyond the next number waits
     in state until the gap is filled, or until ``gap_timeout_ms`` has passed
     since it was held. A vote without two different items changes no rating
-    but counts as a number, so the votes after it don't wait.
+    but counts as a number, so the votes after it don't wait. A session of the
+    initial state goes on after the last number of that state.
     """
 
     def __init__(self, method: str, gap_timeout_ms: int | None, start: int = 1):
@@ -51,6 +53,13 @@ class _Ratings(StatefulProcessor):
         self.scores = handle.getMapState("scores", self.item, self.score)
         self.held = handle.getMapState("held", self.seq, self.vote)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Take over the saved ratings of a session, before its first vote arrives."""
+        for item, score, last in zip(*(initialState[c].tolist() for c in ("item", "raw_score", "last_seq"))):
+            if _name(item) is not None:
+                self.scores.updateValue((item,), (float(score),))
+            self.last.update((int(last),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self._applied()
         cache, holding = {}, False
@@ -129,16 +138,36 @@ class _Ratings(StatefulProcessor):
 
 
 def stream_ratings(
-    votes: DataFrame, method: str = "elo", gap_timeout_ms: int | None = None, start: int = 1
+    votes: DataFrame,
+    method: str = "elo",
+    gap_timeout_ms: int | None = None,
+    start: int = 1,
+    initial: Snapshot | None = None,
 ) -> DataFrame:
-    """Changed ratings per micro-batch of a vote stream (update mode); a session's first vote has the number ``start``."""
+    """Changed ratings per micro-batch of a vote stream (update mode); a session's first vote has the number ``start``.
+
+    ``initial`` seeds the state of a new query with a snapshot: its sessions go
+    on after their last number, and votes that it contains are ignored. A query
+    that restarts from its checkpoint keeps its own state. Ratings that no vote
+    changes are not emitted; ``plans.ratings_after`` adds them.
+    """
     key_type = votes.schema["session_id"].dataType.simpleString()
     out: StructType = struct(f"session_id {key_type}, {OUTPUT}")
+    seeds = None
+    if initial is not None:
+        if initial.method != method:
+            raise ValueError(f"the snapshot holds {initial.method!r} ratings, not {method!r}")
+        # a session whose votes changed no rating still has its last number
+        held = initial.progress.select("session_id", "last_seq").join(initial.ratings, "session_id", "left")
+        seeds = held.select(F.col("session_id").cast(key_type).alias("session_id"), "item", "raw_score", "last_seq").groupBy(
+            "session_id"
+        )
     return votes.select("session_id", "seq", "winner", "loser").groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=_Ratings(method, gap_timeout_ms, start),
         outputStructType=out,
         outputMode="Update",
         timeMode="None" if gap_timeout_ms is None else "ProcessingTime",
+        initialState=seeds,
     )
 
 

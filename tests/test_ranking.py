@@ -166,3 +166,12 @@ def test_blocks_follow_votes_and_not_their_numbers(spark, monkeypatch):
     got = {r.item: r.raw_score for r in ranking.elo_ratings(duels, block=10).collect()}
     assert len(folds) == 4  # short sessions, and three blocks
     assert got == pytest.approx({r.item: r.raw_score for r in ranking.elo_ratings(duels).collect()})
+
+
+def test_history_keeps_the_time_of_the_vote_that_counts(spark):
+    rows = [(1, 1, "a", "b", 10), (1, 1, "a", "b", 50), (1, 2, "b", "a", 20), (1, 3, "a", "a", 30)]
+    duels = spark.createDataFrame(rows, DUELS + ", t bigint").select(
+        "session_id", "seq", "winner", "loser", F.timestamp_seconds("t").alias("ts")
+    )
+    got = ranking.duel_history(duels).select("seq", F.unix_seconds("timestamp").alias("t"), "score1_after").collect()
+    assert sorted(map(tuple, got)) == [(1, 10, 3.1), (2, 20, 3.0)]
