@@ -22,6 +22,7 @@ from lumenrank import functions as fn
 from lumenrank.session import materialise
 
 WORD = 64
+KEY_COST = 32
 
 
 def copies(items: DataFrame, item: str = "item_id", order: str = "ord", h: str = "h") -> DataFrame:
@@ -87,23 +88,26 @@ def bucket_stats(values: DataFrame, m: int, t: int) -> tuple[int, int]:
 
 
 def choose_bands(values: DataFrame, t: int, per_value: int = 64, max_keys: int = 128) -> tuple[int, int]:
-    """Fewest bands whose candidate pairs stay within ``per_value`` per value,
-    with the size of their largest key.
+    """The number of bands at the least cost, with the size of its largest key.
 
-    Starts where evenly spread values would meet the bound, so one pass over
-    the keys usually settles it.
+    A key of a value is shuffled and sorted, and costs as much as
+    ``KEY_COST`` candidate pairs; a ``per_value`` below that asks for few pairs
+    at any price. Starts where evenly spread values have ``per_value`` pairs
+    each, and goes on while there are more and the keys of another band can
+    pay.
     """
     n = values.count()
-    budget = per_value * n
+    budget, per_key = per_value * n, KEY_COST * n if per_value >= KEY_COST else 0
     m = t + 1
     while comb(m, t) * n / 2 ** (WORD * (m - t) // m) > per_value and comb(m + 1, t) <= max_keys:
         m += 1
     best = None
     while best is None or comb(m, t) <= max_keys:
         pairs, largest = bucket_stats(values, m, t)
-        if best is None or pairs < best[0]:
-            best = (pairs, m, largest)
-        if pairs <= budget:
+        cost = pairs + per_key * comb(m, t)
+        if best is None or cost < best[0]:
+            best = (cost, m, largest)
+        if pairs <= budget or per_key * (comb(m + 1, t) - comb(m, t)) >= pairs:
             break
         m += 1
     return best[1], best[2]
@@ -180,8 +184,9 @@ def value_pairs(values: DataFrame, threshold: int, bands: int | None = None, til
     b = right.select(*on, F.col("h").alias("h_b"), F.col("ord").alias("o_b"))
     distance = fn.hamming(F.col("h_a"), F.col("h_b"))
     diff = F.col("h_a").bitwiseXOR(F.col("h_b"))
+    # no broadcast: the planner sizes a keyed side by its values, without the rows that the keys add
     return (
-        a.join(b, on)
+        a.hint("merge").join(b.hint("merge"), on)
         .filter(ahead)
         .filter(distance <= threshold)
         .filter(_first_agreeing(diff, _bands(m), F.col("combo")))

@@ -86,6 +86,20 @@ def test_hamming_plan_has_no_product(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_keyed_sides_are_never_broadcast(spark):
+    """The keys multiply the values, which the planner's estimate of their size leaves out."""
+    df = hamming.hamming_pairs(table(spark, near_copies(2, 50)), 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_keys_are_not_multiplied_without_gain(spark):
+    """Families of 300 leave 150 pairs per value under any bands; more keys can't pay."""
+    hashes = [signed((c * 0x9E3779B97F4A7C15 % 2**64 & ~0x1FF) | i) for c in range(1, 5) for i in range(300)]
+    values = hamming.distinct_values(table(spark, hashes)).cache()
+    assert hamming.choose_bands(values, 3)[0] <= 5
+
+
 @pytest.mark.parametrize("t", [0, 3, 6])
 def test_leader_groups_equal_the_sequential_scan(spark, t):
     hashes = near_copies(10 + t, 300, flips=5)
