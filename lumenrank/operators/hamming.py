@@ -23,6 +23,8 @@ from lumenrank.session import materialise
 
 WORD = 64
 KEY_COST = 32
+FEW_BLOCKS = 4
+MOST_IN_BLOCK = 4096
 
 
 def copies(items: DataFrame, item: str = "item_id", order: str = "ord", h: str = "h") -> DataFrame:
@@ -118,11 +120,14 @@ def tiled(rows: DataFrame, key: list[str], tile: int) -> tuple[DataFrame, DataFr
 
     The rows of a key with more than ``tile`` rows are dealt to blocks; block
     pairs (i, j) with i <= j become join keys of their own, so no task holds
-    more than two blocks of a key and every pair still meets once.
+    more than two blocks of a key and every pair still meets once. A row is
+    copied once per block of its key: blocks grow from ``tile`` up to
+    ``MOST_IN_BLOCK`` rows before a key is cut into more than ``FEW_BLOCKS``.
     """
     size = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > tile)
-    placed = rows.join(size, key, "left").withColumn(
-        "_blocks", F.coalesce(F.ceil(F.col("_n") / tile), F.lit(1)).cast("int")
+    block = F.greatest(F.lit(tile), F.least(F.ceil(F.col("_n") / FEW_BLOCKS), F.lit(MOST_IN_BLOCK)))
+    placed = rows.join(size.hint("merge"), key, "left").withColumn(
+        "_blocks", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     )
     placed = placed.withColumn("_own", F.pmod(F.xxhash64("h"), F.col("_blocks")).cast("int"))
     left = placed.withColumn("_other", F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)))

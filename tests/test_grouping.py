@@ -100,6 +100,16 @@ def test_keys_are_not_multiplied_without_gain(spark):
     assert hamming.choose_bands(values, 3)[0] <= 5
 
 
+def test_copies_of_a_large_key_are_few(spark):
+    """Rows of one key are copied once per block; with a tile of two that was half as often as the key has rows."""
+    rows = spark.range(3000).select(F.lit(1).alias("bits"), F.col("id").alias("h"))
+    left, right = hamming.tiled(rows, ["bits"], 2)
+    assert left.count() + right.count() <= 3000 * (hamming.FEW_BLOCKS + 1)
+    a, b = (x.select("_i", "_j", F.col("h").alias(c)) for x, c in ((left, "a"), (right, "b")))
+    met = a.join(b, ["_i", "_j"]).filter((F.col("_i") != F.col("_j")) | (F.col("a") < F.col("b")))
+    assert met.select("a", "b").distinct().count() == met.count() == 3000 * 2999 // 2
+
+
 @pytest.mark.parametrize("t", [0, 3, 6])
 def test_leader_groups_equal_the_sequential_scan(spark, t):
     hashes = near_copies(10 + t, 300, flips=5)
