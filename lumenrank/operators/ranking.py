@@ -23,6 +23,7 @@ from lumenrank.session import materialise
 ELO_K = fn.ELO_K
 ELO_START, ELO_START_SHOWN = 0.0, 2.5
 BOUNDED_START, BOUNDED_STEP, BOUNDED_MIN, BOUNDED_MAX = 30, 1, 0, 50  # tenths
+STEPS_IN_PART = 200_000
 MAX_COMPARISONS = 100  # planned length of a session where one is asked for
 
 
@@ -135,7 +136,7 @@ def elo_ratings(
 
 
 def _span(duels: DataFrame):
-    return duels.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    return duels.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count(F.lit(1)).alias("n")).first()
 
 
 def _of(ratings: DataFrame | None, keys: DataFrame, on: str | list[str] = "session_id") -> DataFrame | None:
@@ -211,15 +212,28 @@ def _single_clamps(steps: DataFrame, base: int) -> DataFrame:
     return steps.select("session_id", "item", (F.col("seq") - base).alias("at"), clamp.alias("clamp"))
 
 
-def _clamp_levels(single: DataFrame, width: int, fanout: int) -> list[DataFrame]:
+def _parts(duels: int) -> int:
+    """Partitions for the two steps of every duel.
+
+    Steps compress so well that partitions sized by their bytes would hold too
+    many of them for a task's memory.
+    """
+    return max(1, -(-2 * duels // STEPS_IN_PART))
+
+
+def _clamp_levels(single: DataFrame, width: int, fanout: int, parts: int) -> list[DataFrame]:
     """Clamps of aligned ranges of ``at`` in 0..width-1: level 0 spans
     ``fanout`` values, each further level ``fanout`` ranges of the one below,
     the last covers all."""
     rows, levels = single, []
     while True:
+        if levels:
+            rows = levels[-1] = materialise(rows, "clamps")  # read by the next level, and by the scan down
         run = F.array_sort(F.collect_list(F.struct("at", "clamp")))
         rows = (
-            rows.groupBy("session_id", "item", F.floor(F.col("at") / fanout).alias("range"))
+            rows.withColumn("range", F.floor(F.col("at") / fanout))
+            .repartition(parts, "session_id", "item", "range")
+            .groupBy("session_id", "item", "range")
             .agg(run.alias("run"))
             .select(
                 "session_id", "item", F.col("range").alias("at"),
@@ -244,7 +258,7 @@ def bounded_ratings(
     span = _span(duels)
     base, width = (span.lo, span.hi - span.lo + 1) if span.lo is not None else (0, 1)
     single = _single_clamps(_steps(unique_duels(duels)), base)
-    total = _clamp_levels(single, width, fanout)[-1].select("session_id", "item", "clamp")
+    total = _clamp_levels(single, width, fanout, _parts(span.n))[-1].select("session_id", "item", "clamp")
     if initial is None:
         tenths = _apply(F.col("clamp"), F.lit(BOUNDED_START))
         scored = total.select("session_id", "item", tenths.alias("tenths"))
@@ -270,7 +284,7 @@ def _scan_clamps(out_name: str):
                     key, value = (sid, item, grp), start
                 before.append(value)
                 value = min(hi, max(lo, value + shift))
-            yield pdf[["session_id", "item", "at"]].assign(**{out_name: before})
+            yield pdf[["session_id", "item", "at", "shift"]].assign(**{out_name: before})
 
     return scan
 
@@ -284,9 +298,10 @@ def duel_history(duels: DataFrame, initial: DataFrame | None = None, fanout: int
     """
     span = _span(duels)
     base, width = (span.lo, span.hi - span.lo + 1) if span.lo is not None else (0, 1)
-    steps = _steps(unique_duels(duels))
+    unique, parts = unique_duels(duels), _parts(span.n)
+    steps = _steps(unique)
     single = _single_clamps(steps, base)
-    levels = _clamp_levels(single, width, fanout)
+    levels = _clamp_levels(single, width, fanout, parts)
     keys = ["session_id", "item"]
     top = levels[-1].select(*keys, F.col("at").alias("grp"))
     if initial is None:
@@ -295,26 +310,23 @@ def duel_history(duels: DataFrame, initial: DataFrame | None = None, fanout: int
         saved = initial.select(*keys, F.round(F.col("score") * 10).cast("int").alias("start"))
         starts = top.join(saved, keys, "left").fillna(BOUNDED_START, ["start"])
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in steps.select(*keys).schema)
+    scanned = None
     for rows in [*reversed(levels[:-1]), single]:
+        if scanned is not None:
+            starts = scanned.select(*keys, F.col("at").alias("grp"), F.col("before").alias("start"))
         run = rows.select(*keys, "at", F.floor(F.col("at") / fanout).alias("grp"), "clamp.*")
-        ordered = (
-            run.join(starts, [*keys, "grp"])
-            .repartition(*keys, "grp")
-            .sortWithinPartitions(*keys, "grp", "at")
-        )
-        scanned = ordered.mapInPandas(_scan_clamps("before"), f"{types}, at bigint, before int")
-        starts = scanned.select(*keys, F.col("at").alias("grp"), F.col("before").alias("start"))
-    at = starts.select(*keys, (F.col("grp") + base).alias("seq"), F.col("start").alias("before"))
-    sides = at.join(steps, [*keys, "seq"])
+        # no broadcast: the steps are more and wider than the duels that the planner measures
+        run, starts = (x.repartition(parts, *keys, "grp") for x in (run, starts))
+        ordered = run.join(starts.hint("merge"), [*keys, "grp"]).sortWithinPartitions(*keys, "grp", "at")
+        scanned = ordered.mapInPandas(_scan_clamps("before"), f"{types}, at bigint, shift int, before int")
+    sides = scanned.select(*keys, (F.col("at") + base).alias("seq"), F.col("shift").alias("step"), "before")
     won, lost = F.col("step") > 0, F.col("step") < 0
     after = F.least(F.lit(BOUNDED_MAX), F.greatest(F.lit(BOUNDED_MIN), F.col("before") + F.col("step")))
 
     def side(flag: Column, value: Column, name: str) -> Column:
         return F.max(F.when(flag, value)).alias(name)
 
-    timed = [F.max("ts").alias("timestamp")] if "ts" in steps.columns else []
-    return sides.groupBy("session_id", "seq").agg(
-        *timed,
+    history = sides.repartition(parts, "session_id", "seq").groupBy("session_id", "seq").agg(
         side(won, F.col("item"), "image1"),
         side(lost, F.col("item"), "image2"),
         side(won, F.col("item"), "winner"),
@@ -323,6 +335,11 @@ def duel_history(duels: DataFrame, initial: DataFrame | None = None, fanout: int
         side(won, after / 10.0, "score1_after"),
         side(lost, after / 10.0, "score2_after"),
     )
+    if "ts" not in steps.columns:
+        return history
+    times = unique.select("session_id", "seq", F.col("ts").alias("timestamp")).repartition(parts, "session_id", "seq")
+    own = ["session_id", "seq", "timestamp"]
+    return history.join(times.hint("merge"), own[:2]).select(*own, *[c for c in history.columns if c not in own])
 
 
 # ---------------------------------------------------------------- sessions and reports

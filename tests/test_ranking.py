@@ -175,3 +175,14 @@ def test_history_keeps_the_time_of_the_vote_that_counts(spark):
     )
     got = ranking.duel_history(duels).select("seq", F.unix_seconds("timestamp").alias("t"), "score1_after").collect()
     assert sorted(map(tuple, got)) == [(1, 10, 3.1), (2, 20, 3.0)]
+
+
+def test_steps_are_never_broadcast_or_gathered(spark, duels, monkeypatch):
+    """Joins of the steps of all duels: no side goes through the driver, and partitions follow the rows."""
+    plan = ranking.duel_history(duels, fanout=4)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    monkeypatch.setattr(ranking, "STEPS_IN_PART", 100)
+    want = sorted(map(tuple, ranking.duel_history(duels).collect()))
+    many = ranking.duel_history(duels, fanout=4)
+    assert many.rdd.getNumPartitions() >= 2 * duels.count() // 100
+    assert sorted(map(tuple, many.collect())) == want
