@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,8 @@ from lumenrank.sources.snapshots import Snapshot
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "item string, raw_score double, last_seq bigint"
+BLOCK = 256  # numbers whose held votes are one entry of the state
+BLOCKS_AT_ONCE = 64  # entries of a session in memory
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -30,6 +33,67 @@ def _name(item: object) -> str | None:
     return item if isinstance(item, str) else None
 
 
+def _in_order(*columns: list) -> list[tuple]:
+    """``seq, winner, loser`` by number; of votes with one number those with two different items first."""
+
+    def place(vote: tuple) -> tuple:
+        seq, winner, loser = vote
+        some = _name(winner) is not None and _name(loser) is not None and winner != loser
+        return (seq, 0, winner, loser) if some else (seq, 1, "", "")
+
+    return sorted(zip(*columns), key=place)
+
+
+class _Held:
+    """Held votes of one session by number.
+
+    A call to the state costs far more than a vote, so the votes of ``BLOCK``
+    neighbouring numbers are read and written as one entry.
+    """
+
+    def __init__(self, state):
+        self.state, self.blocks, self.changed = state, {}, set()
+
+    def _block(self, seq: int) -> dict:
+        at = seq // BLOCK
+        if at not in self.blocks:
+            if len(self.blocks) >= BLOCKS_AT_ONCE:
+                self.save()
+            found = self.state.getValue((at,))
+            self.blocks[at] = {} if found is None else {n: (a, b) for n, a, b in json.loads(found[0])}
+        return self.blocks[at]
+
+    def hold(self, seq: int, winner: str | None, loser: str | None) -> bool:
+        """Whether the vote is the first with its number."""
+        block = self._block(seq)
+        if seq in block:
+            return False
+        block[seq] = (winner, loser)
+        self.changed.add(seq // BLOCK)
+        return True
+
+    def take(self, seq: int) -> tuple[str | None, str | None] | None:
+        block = self._block(seq)
+        if seq not in block:
+            return None
+        self.changed.add(seq // BLOCK)
+        return block.pop(seq)
+
+    def numbers(self) -> list[int]:
+        """All numbers, in order; only for the votes of a session that its timer gives up on."""
+        self.save()
+        return sorted(n for (votes,) in self.state.values() for n, _, _ in json.loads(votes))
+
+    def save(self) -> None:
+        for at in sorted(self.changed):
+            votes = [[n, a, b] for n, (a, b) in sorted(self.blocks[at].items())]
+            if votes:
+                self.state.updateValue((at,), (json.dumps(votes),))
+            elif self.state.containsKey((at,)):
+                self.state.removeKey((at,))
+        self.blocks, self.changed = {}, set()
+
+
 class _Ratings(StatefulProcessor):
     """Applies the votes of a session in ``seq`` order.
 
@@ -45,13 +109,13 @@ class _Ratings(StatefulProcessor):
         self.method, self.gap_timeout_ms, self.start = method, gap_timeout_ms, start
         # parsed here, on the driver: workers have no session to parse with
         self.seq, self.item, self.score = struct("seq bigint"), struct("item string"), struct("score double")
-        self.vote = struct("winner string, loser string")
+        self.block, self.votes = struct("block bigint"), struct("votes string")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", self.seq)
         self.scores = handle.getMapState("scores", self.item, self.score)
-        self.held = handle.getMapState("held", self.seq, self.vote)
+        self.held = handle.getMapState("held_votes", self.block, self.votes)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Take over the saved ratings of a session, before its first vote arrives."""
@@ -61,56 +125,53 @@ class _Ratings(StatefulProcessor):
             self.last.update((int(last),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self._applied()
-        cache, holding = {}, False
+        before = last = self._applied()
+        cache, holding, held = {}, False, _Held(self.held)
         for pdf in rows:
-            empty = pdf["winner"].isna() | pdf["loser"].isna() | (pdf["winner"] == pdf["loser"])
-            ordered = pdf.assign(_empty=empty).sort_values(["seq", "_empty", "winner", "loser"])
-            for seq, winner, loser in zip(ordered["seq"].tolist(), ordered["winner"], ordered["loser"]):
+            for seq, winner, loser in _in_order(*(pdf[c].tolist() for c in ("seq", "winner", "loser"))):
                 if seq <= last:
                     continue
                 if seq == last + 1:
                     self._duel(cache, winner, loser)
                     last = seq
-                elif not self.held.containsKey((seq,)):
-                    self.held.updateValue((seq,), (_name(winner), _name(loser)))
+                elif held.hold(seq, _name(winner), _name(loser)):
                     holding = True
-            last = self._drain(cache, last)
+            last = self._drain(cache, held, last)
+        held.save()
         if holding and self.gap_timeout_ms is not None and self.held.exists():
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.gap_timeout_ms)
-        yield from self._commit(key, cache, last)
+        yield from self._commit(key, cache, before, last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Give up on the missing votes and apply everything held."""
-        last = self._applied()
-        cache = {}
-        waiting = sorted(k[0] for k in self.held.keys())
-        for seq in waiting:
-            winner, loser = self.held.getValue((seq,))
-            self.held.removeKey((seq,))
+        before = last = self._applied()
+        cache, held = {}, _Held(self.held)
+        for seq in held.numbers():
+            winner, loser = held.take(seq)
             if seq > last:
                 self._duel(cache, winner, loser)
                 last = seq
-        yield from self._commit(key, cache, last)
+        held.save()
+        yield from self._commit(key, cache, before, last)
 
     def close(self) -> None:
         pass
 
     def _applied(self) -> int:
-        return self.last.get()[0] if self.last.exists() else self.start - 1
+        last = self.last.get()
+        return self.start - 1 if last is None else last[0]
 
-    def _drain(self, cache: dict, last: int) -> int:
-        while self.held.containsKey((last + 1,)):
-            winner, loser = self.held.getValue((last + 1,))
-            self.held.removeKey((last + 1,))
-            self._duel(cache, winner, loser)
+    def _drain(self, cache: dict, held: _Held, last: int) -> int:
+        while (vote := held.take(last + 1)) is not None:
+            self._duel(cache, *vote)
             last += 1
         return last
 
     def _score(self, cache: dict, item: str) -> float:
         if item not in cache:
+            saved = self.scores.getValue((item,))
             start = ELO_START if self.method == "elo" else BOUNDED_START / 10
-            cache[item] = self.scores.getValue((item,))[0] if self.scores.containsKey((item,)) else start
+            cache[item] = start if saved is None else saved[0]
         return cache[item]
 
     def _duel(self, cache: dict, winner: str, loser: str) -> None:
@@ -125,8 +186,8 @@ class _Ratings(StatefulProcessor):
             cache[winner] = min(BOUNDED_MAX, round(a * 10) + BOUNDED_STEP) / 10
             cache[loser] = max(BOUNDED_MIN, round(b * 10) - BOUNDED_STEP) / 10
 
-    def _commit(self, key, cache: dict, last: int) -> Iterator[pd.DataFrame]:
-        if last != self._applied():
+    def _commit(self, key, cache: dict, before: int, last: int) -> Iterator[pd.DataFrame]:
+        if last != before:
             self.last.update((last,))
         if not cache:
             return

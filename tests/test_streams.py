@@ -242,3 +242,67 @@ def test_kept_columns_do_not_clash(spark):
     items = spark.createDataFrame([(1, [1.0], "x")], "item_id bigint, v array<double>, output string")
     with pytest.raises(ValueError):
         scoring.score_batches(items, lambda: None, "v", keep=["output"])
+
+
+class _CountedState:
+    """A value or map state that counts the calls."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, {}
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def exists(self):
+        self.calls.append("exists")
+        return bool(self.held)
+
+    def containsKey(self, key):
+        self.calls.append("contains")
+        return key in self.held
+
+    def getValue(self, key):
+        self.calls.append("get")
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls.append("update")
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.calls.append("remove")
+        del self.held[key]
+
+
+def test_held_votes_cost_few_calls_to_the_state():
+    """400 votes, every second one first: the calls follow the items and blocks, not the votes."""
+    import pandas as pd
+
+    from lumenrank.streaming import votes
+
+    calls, states = [], {}
+
+    class Handle:
+        def getValueState(self, name, *schemas):
+            return states.setdefault(name, _CountedState(calls))
+
+        getMapState = getValueState
+
+    processor = votes._Ratings.__new__(votes._Ratings)
+    processor.method, processor.gap_timeout_ms, processor.start = "elo", None, 1
+    processor.seq = processor.item = processor.score = processor.vote = processor.block = processor.votes = None
+    processor.init(Handle())
+    rows = pd.DataFrame([(n, *(("a", "b") if n % 3 else ("b", "c"))) for n in range(1, 401)], columns=["seq", "winner", "loser"])
+    late, early = rows[rows.seq % 2 == 1], rows[rows.seq % 2 == 0]
+    assert list(processor.handleInputRows((1,), iter([early]), None)) == []
+    (got,) = processor.handleInputRows((1,), iter([late[:100], late[100:]]), None)
+    want = {}
+    for _, winner, loser in rows.itertuples(index=False):
+        a, b = want.get(winner, 0.0), want.get(loser, 0.0)
+        gain = votes.ELO_K * (1.0 - 1.0 / (1.0 + 10.0 ** ((b - a) / 400.0)))
+        want[winner], want[loser] = a + gain, b - gain
+    assert dict(zip(got["item"], got["raw_score"])) == want and set(got["last_seq"]) == {400}
+    assert len(calls) <= 40
