@@ -209,8 +209,9 @@ def alike_lines(docs: DataFrame, id_col: str, text: str, tau: int, min_chars: in
         .select("x", "y", "_lx", "_ly").distinct()
     )
     crossed = _verified(pairs, texts, tau).select(F.col("_lx").alias("a"), F.col("_ly").alias("b"))
-    ends = first.select(F.col("node").alias("a"), F.col("label").alias("b")).union(crossed)
-    return components(ends, "line-classes")
+    merged = components(crossed, "line-classes")  # of labels alone; the lines below a label go with it
+    below = with_labels(first.withColumnRenamed("label", "first"), "first", merged, "label").select("node", "label")
+    return below.union(merged)
 
 
 def removals(

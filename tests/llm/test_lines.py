@@ -152,3 +152,22 @@ def test_bit_filter(spark):
     assert passing(others, held, "h").count() < 50_000
     some = held.filter(F.pmod("h", F.lit(50)) == 0)  # not limit(), below which the planner would put the table
     assert passing(some, held, "h").count() == some.count() and filter_bits(0) == 16 and filter_bits(10**12) == 26
+
+
+def test_classes_join_labels_alone(docs, monkeypatch):
+    """Lines of one star go on with their label: the second search for classes gets the links between labels only."""
+    edges, nodes, find = {}, {}, lines.components
+
+    def counted(table, name):
+        found = find(table, name)
+        edges[name], nodes[name] = table.count(), found.count()
+        return found
+
+    monkeypatch.setattr(lines, "components", counted)
+    rng = random.Random(11)
+    chain = ["".join(rng.choice("abcdefghij") for _ in range(90))]
+    for i in range(12):  # each two edits from the one before, so no line is near all the others
+        chain.append(chain[-1][: 7 * i] + "#%" + chain[-1][7 * i + 2 :])
+    copies = [(100 + i, chain[0][:-1] + chr(0x41 + i)) for i in range(20)]
+    check(docs, [*copies, *((200 + i, line + "\nown " + str(i)) for i, line in enumerate(chain))])
+    assert nodes["line-stars"] >= 20 and edges["line-classes"] < nodes["line-stars"]

@@ -128,3 +128,27 @@ def test_keep_one_tells_rows_of_one_id_apart(docs):
     rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (None, a), (4, None)]
     got = [(r.doc_id, r.text) for r in simhash.keep_one(docs(rows)).collect()]
     assert sorted(got, key=repr) == sorted([(1, a), (1, b), (None, a), (4, None)], key=repr)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    saved, save = [], components.Rounds.save
+    monkeypatch.setattr(components.Rounds, "save", lambda self, df: saved.append(1) or save(self, df))
+    edges = spark.createDataFrame([(i, i % 3) for i in range(3, 40)] + [(1, 33 + 1), (50, 50)], "a long, b long")
+    assert {tuple(r) for r in components.components(edges).collect()} == {(i, i % 3) for i in range(3, 40)}
+    assert len(saved) == 1
+    assert components.components(edges.filter("a = b")).collect() == [] and len(saved) == 2
+
+
+def test_rounds_end_only_with_stars(spark):
+    shapes = {
+        "two parents": [(3, 1), (3, 2)], "a chain of two": [(2, 1), (3, 2)], "both": [(9, 4), (9, 5), (5, 2), (4, 3), (8, 3)],
+        "stars apart": [(3, 1), (4, 1), (5, 2)], "twice": [(1, 2), (2, 1), (2, 3)],
+    }
+    for name, edges in shapes.items():
+        found = {tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        nodes = {n for e in edges for n in e}
+        least = {n: n for n in nodes}
+        for _ in nodes:
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        assert found == {(n, m) for n, m in least.items() if n != m}, name
